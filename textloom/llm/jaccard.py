@@ -2,11 +2,13 @@
 
 1. Every whole text becomes a set of 64-bit shingle hashes; equal sets share one id, so that copies cost
    one document. The same pass counts shingles that several documents of a chunk share.
-2. Prefix filter: two sets that link share one of each other's first n - ceil(t n) + 1 shingles in any
+2. Prefix filter: two sets that link share e of each other's first n - ceil(t n) + e shingles in any
    fixed order. The order puts widely shared shingles last, so that passages common to many documents
    bring nothing together. Any order gives exact results; the counts only decide how much work is left.
    Sets that share a prefix shingle are joined to the smallest id of the shingle's group (a star, not all
-   pairs), and components of these stars hold every possible link.
+   pairs). Each set then leaves its weakest stars, as long as the shingles that it shares in those stay
+   below e / 2 in all: of the e shingles that linked sets share, some lie in a star that neither has left.
+   Components of the stars that remain hold every possible link, and what shares but a passage falls apart.
 3. Each component is cut into tiles by size band (sizes of one band differ by a third at most, so links
    lie within a band or between neighbours) and bounded by shingles. Within a pair of tiles, hashed bitmap
    signatures bound the overlap from above: |A & B| <= (|A| + |B| - popcount(a ^ b)) / 2. Pairs that may
@@ -28,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
@@ -37,6 +39,9 @@ from textloom.session import materialize
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: The prefix is longer by this share of a set than one common shingle asks for; linked sets then share so
+#: many prefix shingles, and stars that hold a few only can be dropped.
+EXTRA_PERCENT = 6
 #: Shingles of so many documents in all (counted where a chunk holds two) come last in the order; the
 #: most frequent MAX_COMMON of them at most, which bounds what is broadcast.
 COMMON = 16
@@ -84,8 +89,13 @@ def set_id(hashes: np.ndarray) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def shared_at_least(n: int) -> int:
+    """Prefix shingles that two linked sets share at least, the smaller of n shingles."""
+    return max(1, n * EXTRA_PERCENT // 100)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    return min(n, n - -(-PERCENT * n // 100) + shared_at_least(n))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -291,11 +301,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     )
     common = top.sid.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
-    stars = F.min("sid").over(_by("h"))
-    edges = prefixes(docs, common[order], top.n.to_numpy(np.int64)[order]).distinct().withColumn("m", stars)
-    edges = edges.where("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b"))
+    # dealt by h alone, so that removing repeats and finding the smallest id need no further exchange
+    shared = prefixes(docs, common[order], top.n.to_numpy(np.int64)[order]).repartition(F.col("h")).dropDuplicates(["h", "sid"])
+    shared = shared.withColumn("m", F.min("sid").over(Window.partitionBy("h"))).where("sid <> m")
+    stars = shared.groupBy("sid", "m").agg(F.count("*").alias("w"))
     # equal sets have one id; its smallest document stands for it
     reps = materialize(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-reps")
+    smaller = F.floor((F.col("n") * PERCENT + 99) / 100)  # the least size of a linked set
+    least = F.greatest(F.lit(1), F.floor(smaller * EXTRA_PERCENT / 100))
+    weakest = Window.partitionBy("sid").orderBy("w", "m")
+    left = stars.join(reps.select("sid", "n"), "sid").withColumn("upto", F.sum("w").over(weakest))
+    edges = left.where(2 * F.col("upto") >= least).select(F.col("sid").alias("a"), F.col("m").alias("b"))
     comps = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
     units = _work_units(comps.join(reps.where("rep is not null"), "sid"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
@@ -309,12 +325,6 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return sets.join(roots, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _by(column: str):  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class with all its columns: the one of smallest doc_id. Rows that repeat its
     doc_id go as well; rows without a doc_id stay, as no class can be named after them."""
