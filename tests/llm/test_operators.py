@@ -1,0 +1,304 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, with nulls,
+empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from textloom.llm import brown, html_text, jaccard, licenses, media, packing, pii, quality, toxicity
+from textloom.llm.bpe import PrefixEncoder, bpe_round_trip, codec
+from textloom.llm.components import components
+
+DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, h string, kind int"
+ODD = [
+    (900001, None, "en", "s", None, 1, "x", 2),
+    (900002, "", "en", None, 0, 1, "x", 2),
+    (900003, " \n\t ", None, "s", 4, 1, "x", 2),
+    (900004, "MIT license a@b.co +1 (555) 123-4567 1.2.3.4", "en", "s", 1, 1, "x", 2),
+    (900004, "MIT license a@b.co +1 (555) 123-4567 1.2.3.4", "en", "s", 1, 1, "x", 2),
+    (None, "one two three four five six", "en", "s", 1, 1, "x", 2),
+    (900006, "long 4111 1111 1111 1111 " * 500, "en", "s", 1, 1, "x", 2),
+    (900007, "é" * 20_000, "de", "s", 1, 1, "x", 2),
+]
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    table = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("rank"), F.lit("x").alias("h"), F.lit(2).alias("kind"))
+    return table.union(spark.createDataFrame(ODD, SCHEMA))
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return docs.collect()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_media_round_trip(docs, rows, nothing):
+    got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.media_columns(docs).collect())
+    want = Counter()
+    for r in rows:
+        data = (r.text or "").encode()
+        payload = data.ljust(max(1, -(-len(data) // 192)) * 192, b" ")
+        want[r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])] += 1
+    assert got == want
+    assert media.media_columns(nothing).count() == 0
+
+
+def test_media_ranges_read_each_member_once(spark, docs):
+    archives = media.write_archives(docs, media.fresh_path(spark, "m"), archive_bytes=20_000)
+    assert media.read_archives(spark, archives, range_bytes=4_000).count() == docs.count()
+
+
+def test_bpe_equals_tiktoken(docs, rows, nothing):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = codec(path, public_tokenizers.PATTERN).vocabulary.ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for r in rows:
+        ids = library.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe_round_trip(docs, path, public_tokenizers.PATTERN).collect())) == want
+    assert bpe_round_trip(nothing, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_appends_and_edits():
+    v, rng = codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).vocabulary, random.Random(3)
+    for _ in range(300):
+        data = "".join(rng.choice(["the", "ing", "a", " ", "é", "1", "!!", "zz"]) for _ in range(rng.randint(0, 20))).encode()
+        i = rng.randint(0, len(data))
+        j = rng.randint(i, len(data))
+        by = rng.choice([b"", b"x", b"tion", b"\xff"])
+        assert PrefixEncoder(v, data).replace(i, j, by).last == PrefixEncoder(v, data[:i] + by + data[j:]).last
+        assert PrefixEncoder(v, data[:i]).append(data[i:]).ids() == v.merged(data) == PrefixEncoder(v, data).ids()
+
+
+def test_packing_covers_every_token_once(docs, rows, nothing):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack_documents(docs, path).collect()
+    library = packing.tokenizer(path).library
+    ids = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [2] for r in rows}
+    copies, pieces, sequences = Counter(r.doc_id for r in rows), defaultdict(list), defaultdict(list)
+    for r in got:
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        assert r.doc_tokens == len(ids[r.doc_id])
+        pieces[r.doc_id].append(r.length)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert {d: sum(x) for d, x in pieces.items()} == {d: len(x) * copies[d] for d, x in ids.items()}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096 and not at & (at - 1)  # a power of two: no padding
+    assert packing.pack_documents(nothing, path).count() == 0
+
+
+def test_toxicity_held_out(spark, docs, nothing):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(table, labels)
+    scored = toxicity.score_documents(table, model).join(labels, "doc_id").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
+    en = {r.doc_id for r in table.where("lang = 'en'").collect()}
+    held = [r for r in scored if r.held_out and r.doc_id in en]
+    assert sum(r.predicted == r.toxic for r in held) >= 0.95 * len(held)
+    odd = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert odd[900001].score == 0 == odd[900002].score and odd[None].held_out is False
+    assert toxicity.toxicity(nothing, labels).count() == 0
+    assert toxicity.toxicity(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
+    assert toxicity.Model(-5.0, {"^bad$": 9.0}).score("Fine here. So bad! Fine")[2] == [1]
+
+
+def test_licenses_against_brute_force(docs, rows, nothing):
+    sets = {label: set(licenses.lower_words(t)) for label, t in licenses.TEMPLATES.items()}
+    want = Counter()
+    for r in rows:
+        text = (r.text or "").translate(LOWER)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        base = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        lines = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)) for line in text.split("\n")]
+        own = {label for label, s in sets.items() if any(len(s & b) >= licenses.needed(len(s)) for b in lines)}
+        places = [i for i, _ in base]
+        want[r.doc_id, len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted({x for _, x in base} | own))] += 1
+    got = licenses.license_scan(docs).collect()
+    assert Counter(tuple(r)[:7] for r in got) == want and all(0 <= r.score <= 1 for r in got)
+    assert licenses.license_scan(nothing).count() == 0
+
+
+def test_html_held_out_pages(spark):
+    model = html_text.fit(html_text.labelled_pages(300))
+    unseen = html_text.labelled_pages(80, seed=99)
+    assert sum(model.text(page)[0] == "\n".join(kept) for page, kept in unseen) >= 76
+    odd = [(1, "u", None), (2, "u", ""), (2, "u", ""), (3, None, "<p>a &amp; b<br>c <script>if (a<b) x='</p>'</script><nav>m"), (4, "u", "<" * 3000)]
+    got = html_text.extract_text(spark.createDataFrame(odd, "page_id long, url string, html string"), model).collect()
+    assert [r.page_id for r in got] == [1, 2, 2, 3, 4] and got[0].text == "" and got[1].n_chars == 0
+    assert [b[1] for b in html_text.leaf_blocks(odd[3][2])] == ["a & b", "c", "m"]
+
+
+def test_brown_base_and_gain(docs, rows, nothing):
+    counts = Counter()
+    for r in rows:
+        if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10:
+            counts.update([*brown.words_of(r.text), None])
+    n, v = sum(counts.values()), len(counts)
+    want = defaultdict(list)
+    for r in rows:
+        tokens = [*brown.words_of(r.text), None]
+        want[r.doc_id].append((len(tokens), sum(counts[t] > 0 for t in tokens), sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)))
+    got = brown.class_scores(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        a, b, c = want[r.doc_id][0]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (a, b, n) and r.base_score == pytest.approx(c, rel=1e-9)
+    known = [r for r in got if r.doc_id and r.doc_id < 900000]
+    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+    assert brown.class_scores(nothing).count() == 0
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(1)
+    bigrams = np.zeros((13, 13), int)
+    for _ in range(4000):  # words 0-5 and 6-11 take turns
+        a = rng.integers(0, 6)
+        b = rng.integers(6, 12)
+        bigrams[a, b] += 1
+        bigrams[b, rng.integers(0, 6)] += 1
+    of = brown.exchange(bigrams, 12, classes=2)
+    assert len(set(of[:6])) == len(set(of[6:12])) == 1 and of[0] != of[6]
+
+
+def test_quality_counts(docs, rows, nothing):
+    want = Counter()
+    for r in rows:
+        text = r.text or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        found, covered = Counter(windows), set()
+        for i, x in enumerate(windows):
+            if found[x] > 1:
+                covered |= {i, i + 1, i + 2}
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        want[r.doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed] += 1
+    got = quality.quality_verdicts(docs).collect()
+    assert Counter(tuple(r)[:7] for r in got) == want
+    assert not any(r.kept and r.base_failed for r in got)
+    assert quality.quality_verdicts(nothing).count() == 0
+    assert set(quality.keep_good(docs).columns) == set(docs.columns)
+
+
+def test_quality_rejects_outliers_only(spark):
+    rng = random.Random(5)
+
+    def text(mark: str) -> str:
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) + mark for _ in range(rng.randint(80, 200)))
+
+    table = [(i, text("###$" if i % 40 == 0 else ""), "en", "s") for i in range(400)]
+    got = quality.quality_verdicts(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 400, 40))
+
+
+def test_pii_base_and_redaction(docs, rows, nothing):
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind: str, value: str) -> bool:
+        digits = [int(c) for c in value if c.isdigit()]
+        luhn = sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+        return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in value.split(".")), "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}[kind]
+
+    want = Counter()
+    for r in rows:
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p in patterns.items() for m in re.finditer(p, r.text or "") if good(k, m[0])]
+        want[r.doc_id, hashlib.sha256(",".join(spans).encode()).hexdigest()] += 1
+    got = pii.pii_digest(docs).collect()
+    assert Counter((r.doc_id, r.base_sha256) for r in got) == want
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert clean[900004].text == "MIT license <EMAIL> <PHONE> <IP>" and clean[900001].text is None
+    assert list(clean[900004].asDict()) == docs.columns
+    assert pii.pii_digest(nothing).count() == 0
+
+
+def test_pii_trees_find_secrets(spark):
+    found = pii.fit_trees([
+        {"kind": 0, "size": 3, "digits": 2, "hex": 1, "cue": 1, "assigned": 1, "quoted": 1, "mixed": 1, "n": 50, "seeds": 49},
+        {"kind": 0, "size": 1, "digits": 0, "hex": 0, "cue": 0, "assigned": 0, "quoted": 0, "mixed": 0, "n": 500, "seeds": 0},
+    ])
+    assert found.limits[0] < math.inf and found.limits[1] == math.inf
+    assert pii.fit_trees([]).limits == [math.inf] * 3
+
+
+def test_jaccard_against_all_pairs(docs, rows, nothing, spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    near = []
+    for i in range(40):  # a chain of near copies, and one passage that all share
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        near.append((800_000 + i, " ".join(words)))
+        near.append((810_000 + i, " ".join([*base[:20], *(f"y{i}_{k}" for k in range(30))])))
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    sets = {}
+    for i, text in [(r.doc_id, r.text) for r in rows] + near:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(i for i in sets if i is not None)
+    up = {i: i for i in ids}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                common = len(sets[a] & sets[b]) if min(len(sets[a]), len(sets[b])) * 4 >= 3 * max(len(sets[a]), len(sets[b])) else 0
+                if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = root(a), root(b)
+                    up[max(x, y)] = min(x, y)
+    got = jaccard.jaccard_classes(table).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {i: (len(sets[i]), root(i)) for i in ids}
+    kept = jaccard.keep_one(table)
+    assert Counter(r.doc_id for r in kept.where("doc_id is not null").collect()) == Counter({root(i): 1 for i in ids})
+    assert jaccard.jaccard_classes(nothing).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, sizes = set(docs.columns), [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, DIR), "t")
+        assert set(docs.columns) == columns, name
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4] > 0
+    assert corpus_pipeline.run(spark, DIR).select("doc_id").distinct().count() == sizes[4]
