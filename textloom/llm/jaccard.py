@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
+from textloom.llm.memory import tidy
 from textloom.session import materialize
 
 SHINGLE = 5
@@ -149,7 +150,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
         if held:
             yield common()
 
-    return docs.select("doc_id", "text").mapInArrow(work, _SETS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), _SETS)
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -186,7 +187,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFra
         if held:
             yield rows()
 
-    return docs.select("text").mapInArrow(work, "h long, sid long")
+    return docs.select("text").mapInArrow(tidy(work), "h long, sid long")
 
 
 class _Forest:

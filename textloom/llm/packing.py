@@ -28,6 +28,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from textloom.llm.memory import tidy
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
     "offset long, tier long, step_group long"
@@ -37,8 +39,9 @@ STEP_TOKENS = 8 * 4096
 END_ID = 2
 #: Tokens gathered before a block is packed.
 BLOCK_TOKENS = 2_000_000
-#: Words kept with their ids in a worker; beyond this the rest are encoded each time.
-CACHE_WORDS = 500_000
+#: Words, and runs of which words are made, kept with their ids in a worker; beyond this the rest are
+#: encoded each time. Both are small enough for two workers beside an executor's heap in 3 GB.
+CACHE_WORDS, CACHE_RUNS = 250_000, 60_000
 #: What the vocabulary's splitting rule makes of a lower-case word, and the words it is applied to here.
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 LATIN = re.compile(r"(?!.*<\|)[!-~\u00a1-\u0130\u0132-\u017e]*").fullmatch
@@ -66,7 +69,7 @@ class WordTokenizer:
     def _run(self, run: str) -> bytes:
         ids = self.model.tokenize("".join(map(self.letters.__getitem__, run.encode())))
         found = b"".join([t.id.to_bytes(4, "little") for t in ids])
-        if len(self.runs) < CACHE_WORDS and len(run) <= 64:
+        if len(self.runs) < CACHE_RUNS and len(run) <= 64:
             self.runs[run] = found
         return found
 
@@ -236,4 +239,4 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, b
         if packer.rows:
             yield _batch(packer.taken())
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), SCHEMA)

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.memory import tidy
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, offending string"
 #: Documents the model is fitted on at most.
 MAX_LABELLED = 5_000
 MAX_FEATURES = 4_000
 MIN_POSITIVE = 3
 GRAM = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 FOLDS = 5
 
 SENTENCES = re.compile(r"[^.!?\n]+")
@@ -188,7 +190,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     held = F.coalesce(remainder("doc_id", FOLDS) == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(tidy(work), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -200,7 +202,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py() or "")[0] < 0.5 for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
