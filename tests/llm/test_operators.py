@@ -303,3 +303,26 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4] > 0
     assert corpus_pipeline.run(spark, DIR).select("doc_id").distinct().count() == sizes[4]
+
+
+def test_components_against_union_find(spark):
+    import random
+
+    from textloom.llm.components import components
+
+    rng = random.Random(3)
+    for n, m, path in ((1, 0, 0), (30, 25, 0), (60, 300, 40)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i + 1000, i + 1001) for i in range(path)]
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {(x, root(x)) for x in list(parent)}
