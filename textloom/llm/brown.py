@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.memory import give_back, tidy
 from textloom.session import materialize
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -42,6 +44,7 @@ CACHE_WORDS = 400_000
 #: Texts of one block beyond this many bytes of input are split further by their hash.
 BLOCK_BYTES = 16 << 20
 
+
 def shape(word: bytes) -> int:
     """0 to SHAPES - 1, by letters beyond ASCII, by what the word ends with, and by its length."""
     if word.isascii():
@@ -103,19 +106,19 @@ def block_counts(prepared: DataFrame) -> DataFrame:
                 else:
                     others.setdefault(block, set()).update(words)
         for block, check in checks.items():
-            mine = counts.get(block, Counter())
-            for w in others.get(block, ()):
+            mine = counts.pop(block, Counter())
+            for w in others.pop(block, ()):
                 if w not in mine:
                     mine[w] = 0
-            rows = [(key(w), n, shape(w)) for w, n in mine.items()] + [(0, ends[block], ENDS), (0, check, CHECKSUM)]
-            for at in range(0, len(rows), 100_000):
-                h, n, s = zip(*rows[at : at + 100_000], strict=True)
+            rows = chain(((key(w), n, shape(w)) for w, n in mine.items()), [(0, ends[block], ENDS), (0, check, CHECKSUM)])
+            for part in batched(rows, 50_000):
+                h, n, s = zip(*part, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(h), pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.int32())],
                     ["block", "h", "n", "shape"],
                 )
 
-    return prepared.mapInArrow(work, _COUNTS)
+    return prepared.mapInArrow(tidy(work), _COUNTS)
 
 
 class Units:
@@ -159,7 +162,7 @@ def unit_bigrams(prepared: DataFrame, head: list[int]) -> np.ndarray:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
 
-    rows = prepared.where("train").select("text").mapInArrow(work, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = prepared.where("train").select("text").mapInArrow(tidy(work), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)
     out[rows.cell.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return out.reshape(size, size)
@@ -254,33 +257,44 @@ def class_scores(docs: DataFrame) -> DataFrame:
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         model, tokens, distinct, ends = told.value
-        units = Units(model.head)
         checks = right.c[right.check]
-        total, mine, texts = 0, Counter(), []
+        # Words become numbers as they come: a block's words are held once each, its texts as arrays.
+        total, place, texts, trained = 0, {}, [], []
         for doc_id, train, text in zip(left.doc_id, left.train, left.text, strict=True):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
-            total = _check(total, doc_id, text if isinstance(text, str) else None)
-            words = words_of(text if isinstance(text, str) else None)
-            texts.append(words)
+            text = text if isinstance(text, str) else None
+            total = _check(total, doc_id, text)
+            at = np.array([place.setdefault(w, len(place)) for w in words_of(text)], np.int32)
+            texts.append(at)
             if train:
-                mine.update(words)
+                trained.append(at)
         if len(left) and (len(checks) != 1 or int(checks.iloc[0]) != total):
             raise RuntimeError("the texts were split into other blocks than when they were counted")
-        other = dict(zip(right.h[~right.check].tolist(), right.c[~right.check].tolist(), strict=True))
-        place = {w: i for i, w in enumerate({w for ws in texts for w in ws})}
-        count = np.array([*[other.get(key(w), mine.get(w, 0)) for w in place], ends], float)
-        cls = model.of[np.array([*[units.of(w) for w in place], units.end])]
+        keys = np.fromiter(map(key, place), np.int64, len(place))
+        count = np.bincount(np.concatenate([*trained, np.zeros(0, np.int32)]), minlength=len(place))
+        other = right[~right.check].sort_values("h")
+        h, c = other.h.to_numpy(np.int64), other.c.to_numpy(np.int64)
+        if len(h):
+            near = np.minimum(np.searchsorted(h, keys), len(h) - 1)
+            count = np.where(h[near] == keys, c[near], count)
+        count = np.array([*count, ends], float)
+        units = Units(model.head)
+        number = (units.head.get(k, -1) for k in keys.tolist())
+        shaped = (len(model.head) + shape(w) if n < 0 else n for w, n in zip(place, number, strict=True))
+        cls = model.of[np.array([*shaped, units.end])]
         base = np.log10((count + ADD) / (tokens + ADD * (distinct + 1)))
         emit = np.log10(count + ADD) - model.below[cls]
         rows, end = [], len(place)
         for words in texts:
-            at = np.array([*map(place.__getitem__, words), end])
+            at = np.append(words, end)
             c = cls[at]
             moves = model.moves[np.concatenate([cls[-1:], c[:-1]]), c]
             rows.append((len(at), int((count[at] > 0).sum()), tokens, float(base[at].sum()), float((moves + emit[at]).sum())))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
         out.insert(0, "doc_id", left.doc_id.astype("Int64").array)
         out.insert(1, "held_out", (~left.train.astype(bool)).array)
+        del place, texts, trained
+        give_back()
         return out
 
     return prepared.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(work, SCHEMA)
