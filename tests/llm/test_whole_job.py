@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
 from collections import Counter
 
 import numpy as np
 
-from textloom.llm import brown
+from textloom.llm import brown, quality
 
 DIR = "/root/testdata/sf0.001"
 
@@ -42,3 +43,18 @@ def test_words_beyond_the_head_join_the_best_class(spark, monkeypatch):
     for word in sorted(got, key=lambda w: (-counts[w], w))[:2]:
         each = [likelihood(word, d) for d in range(40)]
         assert each[got[word]] >= max(each) - 1e-6 * abs(max(each)) * 1e-3
+
+
+def test_outliers_of_small_groups_are_rejected(spark):
+    rng = random.Random(7)
+
+    def text(mark: str = "") -> str:
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) + mark for _ in range(rng.randint(80, 200)))
+
+    table = [(i, text(), "en", "big") for i in range(200)]
+    table += [(1000, text("###$"), "en", "rare"), (1001, text(), "en", "rare2")]
+    table += [(2000 + i, "few words", "en", "failing") for i in range(60)] + [(2100, text("###$"), "en", "failing")]
+    table += [(3000, text("###$"), "xx", "s"), (3001, text(), "yy", None), (3002, text("###$"), None, None)]
+    got = quality.quality_verdicts(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(table)
+    assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {1000, 2100, 3000, 3002}

@@ -6,8 +6,8 @@ covariance determinant estimate: starting from medians and median deviations, th
 Mahalanobis distance give a new mean and covariance, several times over (concentration steps). A row whose
 distance from the last estimate exceeds the cut is rejected, as is one that fails the fixed rules.
 
-Groups with fewer than ``MIN_GROUP`` rows are estimated together under their language, and languages with
-fewer than that all together. Every step aggregates with map-side partials; estimates are small rows, one
+Groups with fewer than ``MIN_GROUP`` rows that pass the fixed rules are held against an estimate from all
+rows of their language, and languages with fewer than that against one from all rows. Every step aggregates with map-side partials; estimates are small rows, one
 for each group, and join back on a salted key, so that a source with a third of all rows is spread over
 all tasks.
 
@@ -166,37 +166,53 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """The group each row is estimated in: language and source, or the language, or all."""
-    fine = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    names = fine.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    """The group each row is held against (language and source, or the language, or all), and the groups
+    whose estimates it is part of: its own, and the wider ones that any small group needs."""
+    fine = stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    names = fine.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
+    least = names.agg(F.min("n_lang").alias("all_least"))
     sized = (
         fine.alias("f")
         .join(names.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")))
+        .crossJoin(least)
         .select(
             F.col("f.lang").alias("g_lang"),
             F.col("f.source").alias("g_source"),
             F.when(F.col("n") >= MIN_GROUP, 2).when(F.col("n_lang") >= MIN_GROUP, 1).otherwise(0).alias("level"),
+            ((F.col("n_lang") >= MIN_GROUP) & (F.col("n_least") < MIN_GROUP)).alias("for_lang"),
+            (F.col("all_least") < MIN_GROUP).alias("for_all"),
         )
     )
     salt = F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)).cast("int")
     rows = _joined(stats.withColumns({"g_lang": F.col("lang"), "g_source": F.col("source"), "salt": salt}), sized)
+    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+
+    def group(g_lang: Column, g_source: Column) -> Column:
+        return F.struct(g_lang.alias("g_lang"), g_source.alias("g_source"))
+
+    own = F.when(F.col("level") > 1, group(lang, source))
+    wider = F.when(F.col("for_lang"), group(lang, F.lit("all")))
+    widest = F.when(F.col("for_all"), group(F.lit("all"), F.lit("all")))
     return rows.withColumns(
         {
-            "g_lang": F.when(F.col("level") > 0, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null"))).otherwise("all"),
-            "g_source": F.when(F.col("level") > 1, F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).otherwise("all"),
+            "g_lang": F.when(F.col("level") > 0, lang).otherwise("all"),
+            "g_source": F.when(F.col("level") > 1, source).otherwise("all"),
+            "part_of": F.array_compact(F.array(own, wider, widest)),
         }
-    ).drop("level")
+    ).drop("level", "for_lang", "for_all")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, d2 (squared distance) and kept for every document."""
     stats = materialize(with_base(text_counts(docs)), "quality-stats")
     rows = materialize(_grouped(stats), "quality-groups")
-    medians = rows.where("not base_failed").groupBy("g_lang", "g_source").agg(
+    parts = rows.where("not base_failed").select("salt", *STATS, F.inline("part_of"))
+    medians = parts.groupBy("g_lang", "g_source").agg(
         *[F.percentile_approx(s, F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i, s in enumerate(STATS)]
     )
     spread = (
-        _joined(rows.where("not base_failed"), medians)
+        _joined(parts, medians)
         .groupBy("g_lang", "g_source")
         .agg(
             *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))],
@@ -209,7 +225,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     none = {f"l{i}{j}": F.lit(0.0) for i, j in _pairs() if i > j}
     estimate = materialize(spread.withColumns(none), "quality-estimate")
     for _ in range(STEPS):
-        measured = _distance(_joined(rows.where("not base_failed"), estimate))
+        measured = _distance(_joined(parts, estimate))
         limits = measured.groupBy("g_lang", "g_source").agg(F.percentile_approx("d2", F.lit(KEEP_SHARE), F.lit(1000)).alias("h2"))
         near = _joined(measured.select("g_lang", "g_source", "salt", "d2", *STATS), limits)
         estimate = materialize(_estimate(near, F.col("d2") <= F.col("h2")), "quality-estimate")
