@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +29,29 @@ def local_session(name: str = "textloom", cores: str = "8") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a folder of
-    our own, once for each session (single-machine runs and tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a session on one
+    machine (tests, benches) gets a folder of its own, which goes when the process ends; any other session
+    is refused, as its executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("textloom.shared.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset, and master {master} has no other folder that all executors share")
+        made = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = "file://" + made
         spark.conf.set("textloom.shared.dir", found)
     return found.rstrip("/")
 
 
+#: Paths handed out, in order, until they are removed.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,3 +60,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes intermediate tables that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end every intermediate made within it, but for the paths put on the list it gives.
+    What is lazy must have been written by then."""
+    before, keep = len(_MADE), []
+    try:
+        yield keep
+    finally:
+        remove(spark, [p for p in _MADE[before:] if p not in keep])
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this process has left in the shared folder; for when the results are consumed."""
+    remove(spark, list(_MADE))
