@@ -9,7 +9,8 @@ layouts, element names and class words, so that no page of the table at hand is
 
 A null html counts as empty and gives an empty text, as does a page without article blocks. Repeated rows
 give repeated rows, an empty table an empty result; other columns are ignored; pages are read whole, in
-time in proportion to their length, and broken markup (missing or stray end tags) is read as it comes.
+time in proportion to their length (but for the logarithm of a search), and broken markup is read as it
+comes: a missing end tag is implied by the parent's, a stray one is ignored, a < that begins no tag is text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import html
 import json
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,79 +34,190 @@ TRAIN_STEPS = 150
 #: Fixed sets of element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math head iframe object select textarea".split())
-RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "math", "select", "object")}
+#: Elements whose content is read up to their end tag without looking for elements in it; those of the
+#: first kind take the rest of the page where it is missing, the others are then empty.
+RAW_TO_END, RAW = frozenset("script style".split()), frozenset("textarea iframe".split())
+#: Elements whose text is never shown; they end with their parent at the latest.
+SKIPPED = frozenset("noscript template svg math object select".split())
+#: Of these, those that any block element ends.
+FOREIGN = frozenset("svg math select".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead div section article main aside nav header footer form body html blockquote td".split())
 #: Elements that end an open paragraph when they begin.
 PARAGRAPH_ENDS = SCOPES | frozenset("p h1 h2 h3 h4 h5 h6 pre hr figure fieldset address details".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: A tag without stray quotes; no part of it is tried twice, and none passes another tag's beginning.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>""")
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
-
-def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(ancestor features from the outermost in, text with single spaces, share of link text) of each block."""
-    found, stack, marks, parts, at = [], [], [], [], 0
-    linked = total = links = 0
+Block = tuple[frozenset | int, str, float]
+
+
+class Places:
+    """Finds marks behind a place; searches that found nothing, or something far ahead, are not repeated."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.known, self.marks, self.ends = page, {}, {}, {}
+
+    def after(self, mark: str, at: int) -> int:
+        """Place of the next ``mark`` from ``at`` on, or -1. Asked for with rising places."""
+        low, found = self.known.get(mark, (len(self.page) + 1, -1))
+        if not (low <= at and (found < 0 or at <= found)):
+            found = self.page.find(mark, at)
+            self.known[mark] = at, found
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at ``at``, quotes kept together, or -1.
+        What lies behind a quotation is the same for all tags that reach it, and is worked out once."""
+        path = []
+        while True:
+            event = min((x for x in (self._next(m, at) for m in ">\"'") if x >= 0), default=-1)
+            if event in self.ends:
+                found = self.ends[event]
+                break
+            path.append(event)
+            if event < 0 or self.page[event] == ">":
+                found = event
+                break
+            close = self._next(self.page[event], event + 1)
+            if close < 0:
+                found = -1
+                break
+            at = close + 1
+        for event in path:
+            self.ends[event] = found
+        return found
+
+    def _next(self, mark: str, at: int) -> int:
+        table = self.marks.get(mark)
+        if table is None:
+            table = self.marks[mark] = [m.start() for m in re.finditer(mark, self.page)]
+        i = bisect_left(table, at)
+        return table[i] if i < len(table) else -1
+
+
+def leaf_blocks(page: str, weights: dict[str, int] | None = None) -> list[Block]:
+    """(features of the open elements, text with single spaces, share of link text) of each block; the
+    features as a set, or as the sum of their ``weights`` where these are given. Open elements are held as
+    counts, so that depth costs nothing."""
+    found, parts, at, places = [], [], 0, Places(page)
+    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by name
+    scopes: list[int] = []
+    features: Counter = Counter()
+    missing: set[str] = set()
+    linked = total = links = hidden = score = 0
 
     def flush() -> None:
         nonlocal linked, total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((tuple(m for ms in marks for m in ms), text, linked / max(1, total)))
+                found.append((frozenset(features) if weights is None else score, text, linked / max(1, total)))
             parts.clear()
         linked = total = 0
 
     def pop_to(k: int) -> None:
-        nonlocal links
-        for name in stack[k:]:
+        nonlocal links, hidden, score
+        while len(stack) > k:
+            name, own = stack.pop()
+            opened[name].pop()
             links -= name == "a"
-        del stack[k:], marks[k:]
-
-    while match := TOKEN.match(page, at):
-        at = match.end()
-        name = match[2]
-        if name is None:
-            token = match[0]
-            if token[0] != "<" or token == "<":
-                parts.append(token)
-                n = len(token.strip())
-                total += n
-                linked += n if links > 0 else 0
+            hidden -= name in SKIPPED
+            if scopes and scopes[-1] == len(stack):
+                scopes.pop()
+            for f in own:
+                features[f] -= 1
+                if not features[f]:
+                    del features[f]
+                    if weights is not None:
+                        score -= weights.get(f, 0)
+
+    def add_text(token: str) -> None:
+        nonlocal linked, total
+        if not hidden:
+            parts.append(token)
+            n = len(token.strip())
+            total += n
+            linked += n if links > 0 else 0
+
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            add_text(page[at:end])
+            at = end
             continue
-        name = name.lower()
-        if match[1]:
-            if name not in INLINE:
-                flush()
-            if name in stack:
-                pop_to(len(stack) - 1 - stack[::-1].index(name))
+        if page.startswith("<!--", at):
+            end = places.after("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
             continue
-        if name in RAW and name != "title":
-            end = RAW[name].search(page, at)
-            close = page.find(">", end.start()) if end else -1
-            at = close + 1 if close >= 0 else len(page)
-            flush()
+        if page.startswith(("<!", "<?"), at):
+            end = places.after(">", at)
+            if end < 0:
+                add_text("<")
+                at += 1
+            else:
+                at = end + 1
             continue
+        match = TAG.match(page, at)
+        if match:
+            closing, name, attributes, at = match[1], match[2].lower(), match[3], match.end()
+        else:
+            match = OPENING.match(page, at)
+            end = -1
+            if match:
+                end = places.tag_end(match.end())
+                if end < 0:
+                    end = places.after(">", match.end())  # quotes that never end are no quotes
+            if end < 0:
+                add_text("<")
+                at += 1
+                continue
+            closing, name, attributes, at = match[1], match[2].lower(), page[match.end() : end], end + 1
         if name not in INLINE:
             flush()
+        if closing:
+            if opened.get(name):
+                pop_to(opened[name][-1])
+            continue
+        if name in RAW_TO_END or name in RAW:
+            end = None if name in missing else re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            if end:
+                close = page.find(">", end.end())
+                at = close + 1 if close >= 0 else len(page)
+            elif name in RAW_TO_END:
+                at = len(page)
+            else:
+                missing.add(name)
+            continue
         if name in VOID:
             continue
+        if name in PARAGRAPH_ENDS and hidden:
+            for kind in FOREIGN:
+                if opened.get(kind) and opened[kind][-1] > (scopes[-1] if scopes else -1):
+                    pop_to(opened[kind][-1])
         closes = CLOSES.get(name) or ({"p"} if name in PARAGRAPH_ENDS else None)
         if closes:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in closes:
-                    pop_to(k)
-                    break
-                if stack[k] in SCOPES:
-                    break
-        if len(stack) < 200:
-            stack.append(name)
-            links += name == "a"
-            words = [w for g in NAMES.findall(match[3]) for w in PART.findall("".join(g).lower())] if match[3] else []
-            marks.append([*([f"t:{name}"] if name not in INLINE else []), *[f"c:{w}" for w in words]])
+            k = max((opened[c][-1] for c in closes if opened.get(c)), default=-1)
+            own_scope = [x for x in scopes[-1:] if stack[x][0] not in closes]
+            if k >= 0 and k > (own_scope[0] if own_scope else -1):
+                pop_to(k)
+        words = [w for g in NAMES.findall(attributes) for w in PART.findall("".join(g).lower())] if attributes else []
+        own = (*([f"t:{name}"] if name not in INLINE else []), *[f"c:{w}" for w in words])
+        opened.setdefault(name, []).append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        stack.append((name, own))
+        links += name == "a"
+        hidden += name in SKIPPED
+        for f in own:
+            features[f] += 1
+            if features[f] == 1 and weights is not None:
+                score += weights.get(f, 0)
     flush()
     return found
 
@@ -115,20 +229,19 @@ def own_features(text: str, linked: float) -> list[str]:
     return [f"size:{size}", f"link:{link}", f"stop:{text[-1] in '.!?:;'}", f"comma:{',' in text}", "always"]
 
 
+#: Weights are whole numbers of this part, so that sums are the same in any order.
+UNIT = 100_000
+
+
 class Crf:
-    def __init__(self, weights: dict[str, float], moves: list[list[float]], first: list[float]) -> None:
-        self.weights, self.moves, self.first, self.paths = weights, moves, first, {}
+    def __init__(self, weights: dict[str, int], moves: list[list[float]], first: list[float]) -> None:
+        self.weights, self.moves, self.first = weights, moves, first
 
     def to_json(self) -> str:
         return json.dumps({"weights": self.weights, "moves": self.moves, "first": self.first})
 
-    def emission(self, block: tuple[tuple[str, ...], str, float]) -> float:
-        path = self.paths.get(block[0])
-        if path is None:
-            path = sum(self.weights.get(f, 0.0) for f in set(block[0]))
-            if len(self.paths) < 50_000:
-                self.paths[block[0]] = path
-        return path + sum(self.weights.get(f, 0.0) for f in own_features(block[1], block[2]))
+    def emission(self, block: Block) -> float:
+        return (block[0] + sum(self.weights.get(f, 0) for f in own_features(block[1], block[2]))) / UNIT
 
     def decode(self, blocks: list) -> list[bool]:
         """Viterbi: state 1 is article; its emission is weighed against 0."""
@@ -148,7 +261,7 @@ class Crf:
         return states[::-1]
 
     def text(self, page: str) -> tuple[str, int]:
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(page, self.weights)
         kept = [block[1] for block, yes in zip(blocks, self.decode(blocks), strict=True) if yes]
         return "\n".join(kept), len(blocks)
 
@@ -240,7 +353,7 @@ def fit(pages: list[tuple[str, list[str]]], steps: int = TRAIN_STEPS, rate: floa
             yes = block[1] in left
             if yes:
                 left.remove(block[1])
-            row.append(([names.setdefault(f, len(names)) for f in {*block[0], *own_features(block[1], block[2])}], yes))
+            row.append(([names.setdefault(f, len(names)) for f in sorted({*block[0], *own_features(block[1], block[2])})], yes))
         if row:
             rows.append(row)
             longest = max(longest, len(row))
@@ -283,7 +396,7 @@ def fit(pages: list[tuple[str, list[str]]], steps: int = TRAIN_STEPS, rate: floa
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weights = {f: round(float(theta[i]), 5) for f, i in names.items()}
+    weights = {f: round(float(theta[i]) * UNIT) for f, i in names.items()}
     return Crf(weights, theta[m : m + 4].reshape(2, 2).round(5).tolist(), theta[m + 4 :].round(5).tolist())
 
 

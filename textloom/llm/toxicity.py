@@ -5,12 +5,16 @@ and the words' letter groups, and the bag's probability is their noisy-or: 1 - p
 for documents only; the gradient of the bag's likelihood reaches every sentence, so that the trained
 scores also tell which sentences offend.
 
-The model is fitted on a bounded sample of labelled rows (``MAX_LABELLED``, the ids of smallest hash) in
-one task, and then applied to every whole text without a shuffle. Labels, language, source and id are
-never inputs of a score.
+The model is fitted on a bounded sample of labelled rows (``MAX_LABELLED``, the ids of smallest hash). The
+executors count in how many toxic and clean documents of the sample each feature occurs; every feature
+that is far more frequent in toxic ones is taken, and the ridge holds the weights. The sample's sentences
+come to the one fitting task as sets of these features with the number of their sentences, so that long
+documents don't weigh on it. The model is then applied to every whole text without a shuffle. Labels,
+language, source and id are never inputs of a score.
 
 A null or empty text has no sentences and the bag's lowest score. Rows without doc_id are scored; labels
-of unknown documents are ignored, repeated rows are scored each on its own, an empty table of labels
+of unknown documents are ignored, rows that repeat a doc_id count once in fitting (the least text) and are
+scored each on its own, an empty table of labels
 gives every document score 0, an empty table of documents an empty result. Texts are scored whole,
 however long. Other columns are ignored.
 """
@@ -30,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.memory import tidy
+from textloom.session import materialize
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, offending string"
 #: Documents the model is fitted on at most.
 MAX_LABELLED = 5_000
-MAX_FEATURES = 4_000
 MIN_POSITIVE = 3
 GRAM = 4
 CACHE_WORDS = 200_000
@@ -83,64 +87,59 @@ class Model:
         return max(0.0, -math.expm1(log_clean)), n, found
 
 
-def select_features(bags: list[Counter], toxic: np.ndarray) -> list[str]:
-    """Those that occur in far more toxic than clean documents than chance would have it."""
-    with_it, without = Counter(), Counter()
-    for bag, y in zip(bags, toxic, strict=True):
-        (with_it if y else without).update(bag)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    scored = []
-    for f, a in with_it.items():
-        if a < MIN_POSITIVE:
-            continue
-        p, q = a / n1, without[f] / n0
-        z = (p - q) / math.sqrt((p * (1 - p) + 1 / n1) / n1 + (q * (1 - q) + 1 / n0) / n0)
-        if z >= 3 and p >= 4 * q:
-            scored.append((-z, f))
-    return [f for _, f in sorted(scored)[:MAX_FEATURES]]
-
-
-def fit(texts: list[str], labels: list[int], steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+def is_telling(with_it: float, without: float, n1: float, n0: float) -> bool:
+    """Whether a feature occurs in far more toxic than clean documents than chance would have it."""
+    p, q = with_it / n1, without / n0
+    z = (p - q) / math.sqrt((p * (1 - p) + 1 / n1) / n1 + (q * (1 - q) + 1 / n0) / n0)
+    return with_it >= MIN_POSITIVE and z >= 3 and p >= 4 * q
+
+
+Bag = list[tuple[tuple[int, ...], int]]
+
+
+def bag_of(text: str | None, chosen: dict[str, int], words: dict[str, tuple[int, ...]]) -> Bag:
+    """The sentences of a text as sets of chosen features, each with the number of such sentences."""
+    found = Counter()
+    for sentence in SENTENCES.findall((text or "").lower()):
+        own: list[int] = []
+        for w in set(WORDS(sentence)):
+            mine = words.get(w)
+            if mine is None:
+                mine = words[w] = tuple(chosen[f] for f in features(w) if f in chosen)
+            own += mine
+        found[tuple(sorted(own))] += 1
+    return sorted(found.items())
+
+
+def fit(bags: list[Bag], labels: list[int], names: list[str], steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Minimises the bags' negative log likelihood plus a ridge by Adam."""
     toxic = np.array(labels, bool)
     if not toxic.any():
         return Model(-40.0, {})
-    named: dict[str, list[str]] = {}
-    sentences = [[set(WORDS(s)) for s in SENTENCES.findall((t or "").lower())] for t in texts]
-    bags = []
-    for bag in sentences:
-        words = set().union(*bag)
-        for w in words:
-            if w not in named:
-                named[w] = features(w)
-        bags.append({f for w in words for f in named[w]})
-    chosen = {f: i for i, f in enumerate(select_features(bags, toxic))}
-    picked = {w: [chosen[f] for f in fs if f in chosen] for w, fs in named.items()}
-    rows, columns, owner, n = [], [], [], 0
-    for k, bag in enumerate(sentences):
-        for sentence in bag:
-            for i in [i for w in sentence for i in picked[w]]:
-                rows.append(n)
-                columns.append(i)
+    rows, columns, owner, times = [], [], [], []
+    for k, bag in enumerate(bags):
+        for own, n in bag:
+            rows += [len(owner)] * len(own)
+            columns += own
             owner.append(k)
-            n += 1
+            times.append(n)
     rows, columns, owner = (np.array(x, np.int64) for x in (rows, columns, owner))
-    m, bags_n = len(chosen), len(texts)
+    times = np.array(times, float)
+    n, m, bags_n = len(owner), len(names), len(bags)
     theta = np.zeros(m + 1)
-    theta[m] = math.log(max(1e-6, toxic.mean()) / max(1, n / max(1, bags_n)))
+    theta[m] = math.log(max(1e-6, toxic.mean()) / max(1, times.sum() / max(1, bags_n)))
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):
         z = theta[m] + np.bincount(rows, theta[columns], n)
-        soft = np.logaddexp(0, z)
-        total = np.bincount(owner, soft, bags_n)
+        total = np.bincount(owner, times * np.logaddexp(0, z), bags_n)
         slope = np.where(toxic, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)  # of the loss by each bag's sum
-        pull = slope[owner] / (1 + np.exp(-z))
+        pull = times * slope[owner] / (1 + np.exp(-z))
         grad = np.append(np.bincount(columns, pull[rows], m)[:m], pull.sum()) / bags_n
         grad[:m] += ridge * theta[:m] / max(1.0, bags_n / 1000)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(float(theta[m]), {f: round(float(theta[i]), 6) for f, i in chosen.items()})
+    return Model(float(theta[m]), {f: round(float(theta[i]), 6) for i, f in enumerate(names)})
 
 
 def remainder(doc_id: str, mod: int):  # noqa: ANN201
@@ -158,19 +157,48 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_labelled ids at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_labelled ids at most
+    sample = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            counts = Counter()
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = set(WORDS((text.as_py() or "").lower()))
+                for w in words - known.keys():
+                    known[w] = features(w)
+                counts.update((f, toxic > 0) for f in {f for w in words for f in known[w]})
+            if counts:
+                keys, n = zip(*counts.items(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys]), pa.array([t for _, t in keys]), pa.array(n, pa.int64())], ["feature", "toxic", "n"])
+
+    sizes = sample.agg(F.count_if(F.col("toxic") > 0).alias("n1"), F.count_if(F.col("toxic") <= 0).alias("n0")).first()
+    if not sizes.n1:
+        return Model(-40.0, {})
+    counted = sample.select("toxic", "text").mapInArrow(tidy(count), "feature string, toxic boolean, n long").groupBy("feature")
+    counted = counted.agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("b"))
+    # features of three documents or more of the bounded sample
+    names = sorted(r.feature for r in counted.where(F.col("a") >= MIN_POSITIVE).collect() if is_telling(r.a, r.b, sizes.n1, max(1, sizes.n0)))
+    told = docs.sparkSession.sparkContext.broadcast(names)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, words = {f: i for i, f in enumerate(told.value)}, {}
+        for batch in batches:
+            bags = [json.dumps(bag_of(t.as_py(), chosen, words)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.string())], ["doc_id", "toxic", "bag"])
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "text"]).drop_duplicates(["doc_id"])
-        return pd.DataFrame({"model": [fit(rows.text.tolist(), rows.toxic.tolist()).to_json()]})
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        return pd.DataFrame({"model": [fit([json.loads(b) for b in rows.bag], rows.toxic.tolist(), names).to_json()]})
 
-    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(work, "model string").collect()
-    return Model.of_json(found[0].model) if found else Model(-40.0, {})
+    bags = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(tidy(cells), "doc_id long, toxic int, bag string")
+    return Model.of_json(bags.groupBy(F.lit(0).alias("all")).applyInPandas(fitted, "model string").first().model)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Every document with its score and the places of its offending sentences, in one pass."""
-    told = docs.sparkSession.sparkContext.broadcast(model.to_json())  # MAX_FEATURES weights at most
+    told = docs.sparkSession.sparkContext.broadcast(model.to_json())  # weights of the bounded sample's features
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of_json(told.value)
