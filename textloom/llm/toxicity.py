@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence gets a probability from a logistic score over its words
-and the words' letter groups, and the bag's probability is their noisy-or: 1 - prod(1 - p). Labels exist
+and the words' letter groups and beginnings, and the bag's probability is their noisy-or: 1 - prod(1 - p). Labels exist
 for documents only; the gradient of the bag's likelihood reaches every sentence, so that the trained
 scores also tell which sentences offend.
 
@@ -41,6 +41,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentence
 MAX_LABELLED = 5_000
 MIN_POSITIVE = 3
 GRAM = 4
+BEGINNINGS = (6, 7, 8, 9)
 CACHE_WORDS = 200_000
 FOLDS = 5
 
@@ -49,9 +50,10 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def features(word: str) -> list[str]:
-    """The word itself and its groups of GRAM letters, the start and the end of the word marked."""
+    """The word itself, its groups of GRAM letters, and its beginnings, the start and the end marked."""
     shown = f"^{word}$"
-    return [shown, *{shown[i : i + GRAM] for i in range(len(shown) - GRAM + 1)}]
+    groups = {shown[i : i + GRAM] for i in range(len(shown) - GRAM + 1)}
+    return [shown, *groups.union(shown[:k] for k in BEGINNINGS if k < len(shown))]
 
 
 class Model:
@@ -111,7 +113,7 @@ def bag_of(text: str | None, chosen: dict[str, int], words: dict[str, tuple[int,
     return sorted(found.items())
 
 
-def fit(bags: list[Bag], labels: list[int], names: list[str], steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+def fit(bags: list[Bag], labels: list[int], names: list[str], steps: int = 500, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Minimises the bags' negative log likelihood plus a ridge by Adam."""
     toxic = np.array(labels, bool)
     if not toxic.any():
