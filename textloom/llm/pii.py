@@ -2,28 +2,32 @@
 
 High-recall generators propose overlapping spans. The fixed kinds (email, ip, card, phone) are decided by
 their own format and checksum rules and always stay. What other spans are redacted is decided by gradient
-boosted trees over format features (length, share of digits, hex digits, separators) and context features
-(a cue word, an assignment or a quote before the span). The trees are fitted on all candidates of the
-corpus: features take few values each, so that one aggregation gives every combination with its number of
-candidates and of seeds (a table of at most ``MAX_CELLS`` rows whatever the corpus), and the boosting runs
-on that table. Scores are calibrated per kind by the seeds' share among the candidates scored at least as
-high, and a span is redacted where that share reaches ``PRECISION``. The fitted trees become one CASE
-expression.
-
-Seeds are spans that a fixed rule confirms: a fixed kind's checks, or an assignment of an opaque value to
-a cue word. Positions are code points, ends exclusive.
+boosted trees over format features (length, share of digits, hex digits, the span's form) and context
+features (a cue word, a word that speaks against personal data, an assignment or a quote before the span).
+The trees learn from ``labelled_spans``: texts with planted spans whose truth is known from planting, not
+from the features, personal ones and decoys (hashes, identifiers, dates, amounts) alike, with and without
+cues. The same SQL expressions describe their candidates; features take few values each, so that the
+boosting runs on a table of at most ``MAX_CELLS`` rows. On texts of another seed the scores are calibrated:
+a kind's threshold is the lowest score from which on ``PRECISION`` of the candidates are true. The fitted
+trees become one CASE expression, and the corpus is read once.
+
+Positions are code points, ends exclusive; places in bytes go along with them, as bytes can be cut out of a
+long text without reading it from its start.
 
 Nulls: a null text counts as empty and has no span; a null doc_id stays. Repeated rows are treated alike,
-an empty table gives an empty result, long texts are taken whole and every pattern runs in linear time
-(matches begin where a run begins, or where the last match ended). Other columns are ignored.
+an empty table gives an empty result, long texts are taken whole and every step runs in time in proportion
+to the text (matches begin where a run begins, or where the last match ended; running sums are taken in
+chunks of chunks). Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed. No match begins inside a run
@@ -42,31 +46,76 @@ WIDE = {
     "contact": r"(?<![A-Za-z0-9._%-])[A-Za-z0-9._%-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
 }
 WIDE_NEEDS = {"secret": r"[A-Za-z0-9_]{16}", "number": r"[0-9]{2}", "contact": r"[\[(]at[\])]"}
-CUES = r"(?i)(?:token|secret|key|passw(?:or)?d|pin|ssn|iban|account|konto|tel|phone|call|fax|mail)\W{0,4}$"
-CONTEXT = 24
-MAX_CELLS = 3 * 4 * 4 * 2**5
-ROUNDS = 24
+CUES = r"(?i)(?:token|secret|key|passw(?:or)?d|pass|auth|pin|ssn|iban|account|konto|tel|phone|mobile|call|fax|e?-?mail|contact)(?: is| no\.?)?\W{0,4}$"
+TAME = r"(?i)(?:commit|md5|sha[0-9]*|rev|hash|isbn|order|invoice|version|build|date|since|until|page|total|sum|opens|meet)\W{0,4}$"
+#: Bytes before a span that tell its context.
+CONTEXT = 32
+ROUNDS = 60
 RATE = 0.3
-PRECISION = 0.9
-FEATURES = {"kind": 3, "size": 4, "digits": 4, "hex": 2, "cue": 2, "assigned": 2, "quoted": 2, "mixed": 2}
+PRECISION = 0.95
+TRAIN_TEXTS = 3_000
+FEATURES = {"kind": 3, "size": 4, "digits": 4, "form": 4, "hex": 2, "cue": 2, "tame": 2, "assigned": 2, "quoted": 2}
+MAX_CELLS = math.prod(FEATURES.values())
+CHUNK, CHUNK_BITS = 64, 6
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with its value made once, however often it is mentioned."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(xs: Column, op: Callable[[Column, Column], Column], zero: Column, depth: int = 2) -> Column:
+    """What op makes of all elements before each: within chunks one by one, over chunks by the same way, so
+    that the time is in proportion to the elements (up to CHUNK ** (depth + 1) of them)."""
+
+    def folded(all_xs: Column, start: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(all_xs, start + 1, n), zero, op)
+
+    def body(all_xs: Column) -> Column:
+        if not depth:
+            return F.transform(all_xs, lambda _, i: folded(all_xs, F.lit(0), i))
+        last = F.shiftright(F.size(all_xs) - 1, CHUNK_BITS)
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: folded(all_xs, c * CHUNK, F.lit(CHUNK)))
+
+        def placed(heads: Column) -> Column:
+            return F.transform(all_xs, lambda _, i: op(F.get(heads, F.shiftright(i, CHUNK_BITS)), folded(all_xs, F.shiftright(i, CHUNK_BITS) * CHUNK, i % CHUNK)))
+
+        return F.when(F.size(all_xs) == 0, F.array_repeat(zero, 0)).otherwise(let(running(chunks, op, zero, depth - 1), placed))
+
+    return let(xs, body)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return F.struct((a.n + b.n).alias("n"), (a.b + b.b).alias("b"))
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _sized(text: Column) -> Column:
+    return F.struct(F.length(text).alias("n"), F.octet_length(text).alias("b"))
 
 
 def spans(text: Column, pattern: str, needs: str) -> Column:
     """Leftmost non-overlapping matches with their places: what stands between matches and the matches
-    themselves, measured in code points and added up."""
+    themselves, measured in code points and bytes and added up."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    empty = F.array().cast("array<struct<start:int,end:int,low:int,high:int,value:string>>")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"))
+
+    def located(pairs: Column) -> Column:
+        whole = running(F.transform(pairs, lambda x: _add(_sized(x.b), _sized(x.f))), _add, zero)
 
-    def step(s: Column, x: Column) -> Column:
-        start = s.at + F.length(x.b)
-        end = start + F.length(x.f)
-        row = F.struct(start.alias("start"), end.alias("end"), x.f.alias("value"))
-        return F.struct(end.alias("at"), F.concat(s.out, F.array(row)).alias("out"))
+        def row(x: Column, before: Column) -> Column:
+            at, own = _add(before, _sized(x.b)), _sized(x.f)
+            return F.struct(at.n.alias("start"), (at.n + own.n).alias("end"), at.b.alias("low"), (at.b + own.b).alias("high"), x.f.alias("value"))
+
+        return F.zip_with(pairs, whole, row)
 
     # zipped, so that both arrays are made once and not for every element; the last has no match behind it
     pairs = F.filter(F.arrays_zip(between.alias("b"), found.alias("f")), lambda x: x.f.isNotNull())
-    return F.when(text.rlike(needs), F.aggregate(pairs, state, step, lambda s: s.out)).otherwise(empty)
+    return F.when(text.rlike(needs), let(pairs, located)).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -105,35 +154,120 @@ def _banded(x: Column, *edges: float) -> Column:
     return reduce(lambda a, b: a + b, [(x >= e).cast("int") for e in edges])
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """All wide spans with coded features; seed says whether a fixed rule confirms the span."""
+def _form(kind: str, value: Column) -> Column:
+    """What the span looks like, 0 to 3 for each kind."""
+    if kind == "secret":
+        upper, lower, digit = value.rlike("[A-Z]"), value.rlike("[a-z]"), value.rlike("[0-9]")
+        return F.when(~digit | ~(upper | lower), 0).when(upper & lower, 3).when(upper, 2).otherwise(1)
+    if kind == "number":
+        local, official = value.rlike(r"^[0-9]{3}[\x20().-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$"), value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+        date = value.rlike(r"^(?:[12][0-9]{3}[-/.][01]?[0-9][-/.][0-3]?[0-9]|[0-3]?[0-9][-/.][01]?[0-9][-/.][12][0-9]{3}|[12][0-9]{3}-[12][0-9]{3})")
+        return F.when(official, 2).when(date, 3).when(local, 1).otherwise(0)
+    return F.when(value.rlike(r"[\[(]dot[\])]"), 2).when(value.rlike(r"\.[A-Za-z]{2,4}$"), 1).otherwise(0)
+
 
-    def described(code: int) -> callable:
+def candidates(text: Column) -> Column:
+    """All wide spans with their coded features."""
+    data = F.encode(text, "UTF-8")
+
+    def described(code: int, kind: str) -> Callable[[Column], Column]:
         def row(s: Column) -> Column:
-            left = F.substring(text, F.greatest(s.start - CONTEXT, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT)))
+            # the context may begin within a letter, which no pattern minds, as all are anchored at its end
+            left = F.substring(data, F.greatest(s.low - CONTEXT, F.lit(0)) + 1, F.least(s.low, F.lit(CONTEXT))).cast("string")
             digits = F.length(_digits(s.value)) / F.length(s.value)
-            cue = F.regexp_replace(left, r"[\s\"'=:]+$", "").rlike(CUES).cast("int")
-            assigned, quoted = left.rlike(r"[=:]\s*[\"']?$").cast("int"), left.rlike(r"[\"']$").cast("int")
-            hexed = s.value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int")
-            mixed = (s.value.rlike("[0-9]") & s.value.rlike("[A-Za-z]")).cast("int")
-            within = F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end))
+            bare = F.regexp_replace(left, r"[\s\"'=:(]+$", "")
             return F.struct(
                 s.start.alias("start"),
                 s.end.alias("end"),
+                s.low.alias("low"),
+                s.high.alias("high"),
                 F.lit(code).alias("kind"),
                 _banded(F.length(s.value), 10, 20, 36).alias("size"),
                 _banded(digits, 0.1, 0.4, 0.75).alias("digits"),
-                hexed.alias("hex"),
-                cue.alias("cue"),
-                assigned.alias("assigned"),
-                quoted.alias("quoted"),
-                mixed.alias("mixed"),
-                (within | ((cue == 1) & (assigned == 1) & (mixed == 1))).alias("seed"),
+                _form(kind, s.value).alias("form"),
+                s.value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int").alias("hex"),
+                bare.rlike(CUES).cast("int").alias("cue"),
+                bare.rlike(TAME).cast("int").alias("tame"),
+                left.rlike(r"[=:]\s*[\"']?$").cast("int").alias("assigned"),
+                left.rlike(r"[\"']$").cast("int").alias("quoted"),
             )
 
         return row
 
-    return F.concat(*[F.transform(spans(text, p, WIDE_NEEDS[k]), described(i)) for i, (k, p) in enumerate(WIDE.items())])
+    return F.concat(*[F.transform(spans(text, p, WIDE_NEEDS[k]), described(i, k)) for i, (k, p) in enumerate(WIDE.items())])
+
+
+def labelled_spans(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Texts with planted spans and the places of the personal ones; what else is planted is a decoy."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def some(letters: str, low: int, high: int) -> str:
+        return "".join(rng.choices(letters, k=rng.randint(low, high)))
+
+    def with_digits(letters: str, low: int, high: int) -> str:
+        value = some(letters, low, high - 2)
+        return value[:3] + pick(letters.strip(digits)) + pick(digits) + value[3:]
+
+    def name() -> str:
+        return some(lower, 2, 8)
+
+    def shaped(form: str) -> str:
+        return "".join(pick(digits) if c == "d" else pick(digits[1:]) if c == "n" else c for c in form)
+
+    def opaque() -> str:
+        return pick([
+            lambda: with_digits("0123456789abcdef", 16, 44), lambda: with_digits(lower + upper + digits, 16, 44), lambda: with_digits(upper + digits, 16, 28),
+        ])()
+
+    def bare_key() -> str:
+        return pick([lambda: some(upper, 4, 4) + with_digits(upper + digits, 14, 24), lambda: f"{name()[:3]}_{with_digits(lower + upper + digits, 20, 40)}"])()
+
+    def assigned(cues: str, value: str) -> tuple[str, str]:
+        quote = pick(["", "", '"', "'"])
+        cue = pick(cues.split())
+        return pick([cue, cue.upper(), cue.capitalize()]) + pick(["=", ": ", " = ", ":", " is ", " "]) + quote, value
+
+    def date() -> str:
+        y, m, d = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+        return pick([f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y}", f"{y}/{m:02}/{d:02}", f"{y}-{y + rng.randint(1, 30)}", f"{y}-{m:02}-{d:02} {rng.randint(0, 23):02}"])
+
+    local = ["ndd) ddd-dddd", "ndd-ddd-dddd", "ndd.ddd.dddd", "ndd ddd dddd"]
+    address = lambda end: f"{name()}.{name()}{pick([' [at] ', ' (at) ', '(at)', '[at]'])}{name()}{end}"
+    personal = [
+        lambda: assigned("password passwd secret token api_key key auth pass", opaque()),
+        lambda: assigned("password secret token key", opaque()),
+        lambda: ("", bare_key()),
+        lambda: assigned("ssn phone tel call fax mobile account konto pin iban", shaped(pick([*local, "ndd-dd-dddd", "0dd ddddddd", "nddddddd", "ndddddddddd"]))),
+        lambda: ("", shaped(pick([*local[:2], "ndd-dd-dddd"]))),
+        lambda: (pick(["", "", "mail ", "contact: "]), address(pick([" [dot] com", "(dot)org", ".com", ".net", ".de", " [dot] co [dot] uk"]))),
+    ]
+    decoys = [
+        lambda: (pick(["commit ", "md5 ", "sha1: ", "rev ", "", "hash="]), some("0123456789abcdef", 32, 40)),
+        lambda: ("", "_".join(some(lower, 3, 9) for _ in range(rng.randint(3, 5)))),
+        lambda: ("", "".join(some(lower, 3, 8).capitalize() for _ in range(rng.randint(3, 5)))),
+        lambda: (pick(["", "", "", "key: ", "token "]), some(lower, 16, 30)),
+        lambda: ("", pick([some(upper, 16, 24), "_".join(some(upper, 4, 8) for _ in range(4))])),
+        lambda: (pick(["", "order ", "invoice no. ", "total "]), shaped(pick(["ndddddddd", "ndddddddddddddddd", "n.ddd.ddd", "nd.ddd.ddd.ddd", "nddddddddd"]))),
+        lambda: (pick(["", "since ", "date: ", "until "]), date()),
+        lambda: (pick(["isbn ", "ISBN: "]), shaped("978-n-dd-dddddd-d")),
+        lambda: (pick(["version ", "build ", ""]), shaped("nd.d.ddddd.dddd")),
+        lambda: (pick(["opens ", "meet "]), f"{name()} (at) {name()}.{shaped('nd')}"),
+        lambda: (pick(["build", "version "]), f"{some(lower, 5, 9)}{shaped('20dd0ndd')}_{some(lower, 4, 6)}"),
+    ]
+    out = []
+    for _ in range(n):
+        text, truth = "", []
+        for _ in range(rng.randint(1, 4)):
+            text += " ".join(name() for _ in range(rng.randint(2, 8))) + pick([" ", ". ", ", ", "\n"])
+            good = rng.random() < 0.4
+            before, value = pick(personal if good else decoys)()
+            if good:
+                truth.append((len(text) + len(before), len(text) + len(before) + len(value)))
+            text += before + value + pick([" ", ". ", '" ', ", ", "\n"])
+        out.append((text, truth))
+    return out
 
 
 class Trees:
@@ -154,6 +288,8 @@ class Trees:
             g, w, a, b = node
             return F.when(s[g] >= w, b).otherwise(a)
 
+        if not self.trees:
+            return F.lit(self.start)
         parts = [F.when(s[f] >= v, leaf(high)).otherwise(leaf(low)) for (f, v), low, high in self.trees]
         return reduce(lambda a, b: a + b, parts, F.lit(self.start))
 
@@ -162,8 +298,9 @@ class Trees:
         return self.column(s) >= limit
 
 
-def fit_trees(cells: list[dict]) -> Trees:
-    """Gradient boosting (Newton steps, logistic loss) over cells {feature codes, n, seeds}."""
+def fit_trees(cells: list[dict], others: list[dict]) -> Trees:
+    """Gradient boosting (Newton steps, logistic loss) over cells {feature codes, n, seeds}, of which seeds
+    are true; thresholds from ``others``."""
     n, seeds = sum(c["n"] for c in cells), sum(c["seeds"] for c in cells)
     if not n:
         return Trees(0.0, [], [math.inf] * len(WIDE))
@@ -195,59 +332,62 @@ def fit_trees(cells: list[dict]) -> Trees:
         for i, c in enumerate(cells):
             g, w, a, b = high if c[f] >= v else low
             margins[i] += b if c[g] >= w else a
-    limits = []
+    model = Trees(start, trees, [])
     for kind in range(len(WIDE)):
-        mine = sorted(((m, c) for m, c in zip(margins, cells, strict=True) if c["kind"] == kind), key=lambda x: -x[0])
+        mine = sorted(((model.score(c), c) for c in others if c["kind"] == kind), key=lambda x: -x[0])
         limit, total, good = math.inf, 0, 0
         for k, (m, c) in enumerate(mine):
             total, good = total + c["n"], good + c["seeds"]
             last_of_score = k + 1 == len(mine) or mine[k + 1][0] < m
             if last_of_score and good >= PRECISION * total:
                 limit = m - 1e-9
-        limits.append(limit)
-    return Trees(start, trees, limits)
+        model.limits.append(limit)
+    return model
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), text, the base spans of each kind and all candidates."""
-    text = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    with_base = text.withColumns({k: v for k, v in base_spans(F.col("text")).items()})
-    every = F.concat(*[F.col(k) for k in BASE])
-    return with_base.withColumn("wide", candidates(F.col("text"), every))
-
-
-def train(docs: DataFrame) -> Trees:
-    rows = (
-        _parts(docs)
-        .where(F.size("wide") > 0)
-        .select(F.inline("wide"))
-        .groupBy(*FEATURES)
-        .agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        .orderBy(*FEATURES)
-        .collect()  # MAX_CELLS rows at most
-    )
-    return fit_trees([r.asDict() for r in rows])
+def labelled_cells(spark: SparkSession, n: int, seed: int) -> list[dict]:
+    """The candidates of planted texts, counted by their features; true where they overlap a planted span."""
+    texts = spark.createDataFrame(labelled_spans(n, seed), "text string, truth array<struct<start:int,end:int>>")
+    wide = texts.withColumn("wide", candidates(F.col("text"))).select("truth", F.inline("wide"))
+    seed_of = F.exists("truth", lambda t: (t.start < F.col("end")) & (F.col("start") < t.end))
+    rows = wide.withColumn("seed", seed_of.cast("int")).groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"))
+    return [r.asDict() for r in rows.orderBy(*FEATURES).collect()]  # MAX_CELLS rows at most
+
+
+def train(spark: SparkSession, n: int = TRAIN_TEXTS) -> Trees:
+    return fit_trees(labelled_cells(spark, n, 1), labelled_cells(spark, n, 2))
 
 
 def find_spans(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """row, text, the arrays of base spans, and ``all_spans`` (kind, start, end), sorted as listed."""
-    trees = trees or train(docs)
+    """row, text, the arrays of base spans, and ``all_spans`` (kind, start, end, low, high; the last two in
+    bytes), sorted as listed. Wide spans that lie inside a base span are left out."""
+    trees = trees or train(docs.sparkSession)
     kinds = [*BASE, *WIDE]
-    extra = F.filter("wide", trees.chosen)
-    inside = F.concat(*[F.col(k) for k in BASE])
-    extra = F.filter(extra, lambda s: ~F.exists(inside, lambda b: (b.start <= s.start) & (s.end <= b.end)))
+    text = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = text.withColumns({**base_spans(F.col("text")), "wide": F.filter(candidates(F.col("text")), trees.chosen)})
+
+    def named(rank: Column, s: Column) -> Column:
+        return F.struct(s.start.alias("start"), rank.alias("rank"), s.end.alias("end"), s.low.alias("low"), s.high.alias("high"))
+
+    def ranked(i: int) -> Callable[[Column], Column]:  # a second argument of a lambda would be the place
+        return lambda s: named(F.lit(i), s)
 
-    def ranked(rank: int) -> callable:
-        return lambda s: F.struct(F.lit(rank).alias("rank"), s.start.alias("start"), s.end.alias("end"))
+    base = [F.transform(k, ranked(i)) for i, k in enumerate(BASE)]
+    wide = F.transform("wide", lambda s: named(s.kind + len(BASE), s))
+
+    def outside(ordered: Column) -> Column:
+        # how far the base spans that begin no later reach; they sort first among those of one start
+        reach = running(F.transform(ordered, lambda s: F.when(s["rank"] < len(BASE), s.end).otherwise(0)), _most, F.lit(0))
+        both = F.zip_with(ordered, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r")))
+        kept = F.filter(both, lambda x: (x.s["rank"] < len(BASE)) | (x.r < x.s.end))
+        return F.sort_array(F.transform(kept, lambda x: F.struct(x.s["rank"].alias("rank"), x.s.start.alias("start"), x.s.end.alias("end"), x.s.low.alias("low"), x.s.high.alias("high"))))
 
-    named = [F.transform(k, ranked(i)) for i, k in enumerate(BASE)]
-    named.append(F.transform(extra, lambda s: F.struct((s.kind + len(BASE)).alias("rank"), s.start.alias("start"), s.end.alias("end"))))
     names = F.array(*[F.lit(k) for k in kinds])
-    ordered = F.transform(
-        F.sort_array(F.concat(*named)),
-        lambda s: F.struct(F.get(names, s["rank"]).alias("kind"), s.start.alias("start"), s.end.alias("end")),
+    listed = F.transform(
+        let(F.sort_array(F.concat(*base, wide)), outside),
+        lambda s: F.struct(F.get(names, s["rank"]).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.low.alias("low"), s.high.alias("high")),
     )
-    return _parts(docs).withColumn("all_spans", ordered)
+    return found.withColumn("all_spans", listed).drop("wide")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -264,21 +404,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, all_spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    ordered = F.sort_array(F.transform(all_spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every span replaced by its kind in angle brackets; overlapping spans become one, named
+    after the first."""
+    ordered = F.sort_array(F.transform(all_spans, lambda s: F.struct(s.low.alias("low"), s.high.alias("high"), s.kind.alias("kind"))))
+
+    def cut(data: Column, low: Column, high: Column) -> Column:
+        return F.substring(data, low + 1, high - low).cast("string")
+
+    def body(x: Column) -> Column:
+        reach = running(F.transform(x.spans, lambda s: s.high), _most, F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        new = F.concat(s.out, F.array(F.substring(text, s.at + 1, x.start - s.at), F.concat(F.lit("<"), F.upper(x.kind), F.lit(">"))))
-        return F.struct(
-            F.greatest(s.at, x.end).alias("at"),
-            F.when(x.start >= s.at, new).otherwise(s.out).alias("out"),
-        )
+        def piece(s: Column, r: Column) -> Column:
+            new = F.concat(cut(x.data, r, s.low), F.lit("<"), F.upper(s.kind), F.lit(">"))
+            return F.when(s.low >= r, new).otherwise("")
 
-    def finish(s: Column) -> Column:
-        return F.concat(F.array_join(s.out, ""), F.substring(text, s.at + 1, F.lit(2**31 - 1)))
+        end = F.array_max(F.transform(x.spans, lambda s: s.high))
+        return F.concat(F.array_join(F.zip_with(x.spans, reach, piece), ""), cut(x.data, end, F.octet_length(x.data)))
 
-    return F.when(F.size(all_spans) == 0, text).otherwise(F.aggregate(ordered, start, step, finish))
+    held = F.struct(F.encode(text, "UTF-8").alias("data"), ordered.alias("spans"))
+    return F.when(F.size(all_spans) == 0, text).otherwise(let(held, body))
 
 
 def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
