@@ -3,12 +3,16 @@
 A document's tokens are cut into whole windows of the longest tier and a rest; the rest goes to the
 shortest tier that holds it. Tiers are packed from the longest down: a rest opens a window of its tier and
 the gap behind it is filled from shorter tiers, the longest piece that fits first; what still gapes is
-filled by cutting a piece of a shorter tier. Windows are closed full, so padding is left at most at the
-end of a task's stream, where the tail is cut into powers of two instead. Sequences are grouped into steps
-of equal token counts, each of one window size.
+filled by cutting a piece of a shorter tier. Windows are closed full. Sequences are grouped into steps of
+``STEP_TOKENS`` tokens each, of one window size.
 
-Everything happens in the task that reads a document, in blocks bounded by tokens; nothing is shuffled.
-Sequence ids carry the task's partition, so they are distinct without any exchange.
+This happens in the task that reads a document, in blocks bounded by tokens. What a task can't finish,
+pieces for less than a window of each tier and sequences for less than a step, is written like the rest and
+then pooled over ``POOLED`` tasks: their pieces are packed on, their sequences fill steps on (the last ones
+of mixed sizes; powers of two fill a step without a gap), and only the very last pieces of a pool are cut
+into powers of two, so that there is no padding. So a pool has one step that is not full, and what is
+shuffled is bounded for each task, whatever it reads. Sequence ids carry the task's or the pool's number,
+so they are distinct without any exchange.
 
 A null text counts as empty and has its end token only. Repeated rows are packed each on its own, an
 empty table gives an empty result, documents of any length are cut into windows, and columns other than
@@ -18,25 +22,27 @@ doc_id and text are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textloom.llm.memory import tidy
+from textloom.session import materialize
 
-SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-    "offset long, tier long, step_group long"
-)
+#: ids: the piece's tokens as little-endian unsigned 32-bit integers.
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 8 * 4096
 END_ID = 2
+#: Tasks whose rests are pooled, and where the numbers of pools begin.
+POOLED, POOLS = 64, 1 << 26
 #: Tokens gathered before a block is packed.
 BLOCK_TOKENS = 2_000_000
 #: Words, and runs of which words are made, kept with their ids in a worker; beyond this the rest are
@@ -99,29 +105,39 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+Piece = tuple[int | None, int, bytes, int]  # document, start, ids, the document's tokens
+
+
 class Packer:
     """Packs a stream of documents; ``rows`` holds what has been placed since it was last taken."""
 
     def __init__(self, stream: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> None:
         self.tiers, self.step_tokens, self.base = tuple(sorted(tiers)), step_tokens, stream << 36
-        self.sequences, self.rows, self.held = 0, [], 0
-        self.in_step: dict[int, tuple[int, int]] = {}  # by window size: step and sequences in it
-        self.steps = 0
+        self.sequences, self.rows, self.held, self.steps = 0, [], 0, 0
+        self.open: dict[int, list[list[tuple]]] = {}  # by window size: the sequences of the step being filled
         self.waiting: dict[int, list[tuple[int, int]]] = {t: [] for t in self.tiers}  # (length, piece), sorted
-        self.pieces: list[tuple[int | None, int, bytes, int]] = []  # doc, start, ids, document's tokens
-
-    def _close(self, size: int, parts: list[tuple[int | None, int, bytes, int]]) -> None:
-        step, n = self.in_step.get(size, (-1, 0))
-        if step < 0 or n >= max(1, self.step_tokens // size):
-            step, n = self.steps, 0
-            self.steps += 1
-        self.in_step[size] = step, n + 1
-        offset = 0
+        self.pieces: list[Piece] = []
+
+    def _close(self, size: int, parts: list[Piece]) -> None:
+        placed, offset = [], 0
         for doc, start, ids, total in parts:
-            n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.base | self.sequences, offset, size, self.base | step))
-            offset += n
+            placed.append((doc, start, len(ids) // 4, ids, total, self.base | self.sequences, offset, size))
+            offset += len(ids) // 4
         self.sequences += 1
+        self.join(size, placed)
+
+    def join(self, size: int, sequence: list[tuple]) -> None:
+        """Puts a sequence into the step that is filled with its size."""
+        held = self.open.setdefault(size, [])
+        held.append(sequence)
+        if len(held) * size >= self.step_tokens:
+            self._step(held)
+            self.open[size] = []
+
+    def _step(self, sequences: list[list[tuple]]) -> None:
+        step = self.base | self.steps
+        self.steps += 1
+        self.rows += [(*row, step) for sequence in sequences for row in sequence]
 
     def add(self, doc: int | None, ids: bytes) -> None:
         total, top = len(ids) // 4, self.tiers[-1]
@@ -131,7 +147,7 @@ class Packer:
         if total > whole:
             self._wait((doc, whole, ids[4 * whole :], total))
 
-    def _wait(self, piece: tuple[int | None, int, bytes, int]) -> None:
+    def _wait(self, piece: Piece) -> None:
         n = len(piece[2]) // 4
         tier = next(t for t in self.tiers if n <= t)
         insort(self.waiting[tier], (n, len(self.pieces)))
@@ -188,10 +204,24 @@ class Packer:
         for piece in kept:
             self._wait(piece)
 
+    def _left(self) -> list[Piece]:
+        left = [self.pieces[k] for t in reversed(self.tiers) for _, k in reversed(self.waiting[t])]
+        self.waiting, self.pieces, self.held = {t: [] for t in self.tiers}, [], 0
+        return left
+
+    def leave(self) -> None:
+        """Gives out what can't be finished here: pieces without a sequence, sequences without a step."""
+        self.pack()
+        for place, (doc, start, ids, total) in enumerate(self._left()):
+            self.rows.append((doc, start, len(ids) // 4, ids, total, None, place, None, None))
+        self.rows += [(*row, None) for held in self.open.values() for sequence in held for row in sequence]
+        self.open = {}
+
     def finish(self) -> None:
-        """Cuts what is left into sequences of powers of two, longest first: no padding at all."""
+        """Cuts what is left into sequences of powers of two, longest first, and fills the last steps with
+        the sequences of all sizes."""
         self.pack()
-        rest = [self.pieces[k] for t in reversed(self.tiers) for _, k in reversed(self.waiting[t])]
+        rest = self._left()
         left = sum(len(p[2]) // 4 for p in rest)
         while left:
             size = min(self.tiers[-1], 1 << (left.bit_length() - 1))
@@ -205,38 +235,78 @@ class Packer:
                 gap -= n
             self._close(size, parts)
             left -= size
-        self.waiting, self.pieces, self.held = {t: [] for t in self.tiers}, [], 0
+        last, held = [], 0
+        for size in sorted(self.open, reverse=True):
+            for sequence in self.open[size]:
+                if held + size > self.step_tokens:
+                    self._step(last)
+                    last, held = [], 0
+                last.append(sequence)
+                held += size
+        if last:
+            self._step(last)
+        self.open = {}
 
     def taken(self) -> list[tuple]:
         rows, self.rows = self.rows, []
         return rows
 
 
-_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
+_STREAMED = f"{SCHEMA}, stream long"
+_ARROW = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in _STREAMED.split(", ")])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
+def _batch(rows: list[tuple], stream: int) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True), [stream] * len(rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each piece of each document, with its place in a sequence."""
+def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """One row for each piece of each document, with its tokens and its place in a sequence."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = tokenizer(path), END_ID.to_bytes(4, "little")
-        packer, held = Packer(TaskContext.get().partitionId(), tiers), 0
+        stream = TaskContext.get().partitionId()
+        packer, held, given = Packer(stream, tiers, step_tokens), 0, 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = coder.encode(text.as_py() or "")
                 packer.add(key, ids + end)
                 held += len(ids) // 4
+                given += len(ids) // 4
                 if held >= block_tokens:
                     packer.pack()
                     held = 0
-                if len(packer.rows) >= 20_000:
-                    yield _batch(packer.taken())
-        packer.finish()
+                if given >= block_tokens and packer.rows:
+                    yield _batch(packer.taken(), stream)
+                    given = 0
+        packer.leave()
         if packer.rows:
-            yield _batch(packer.taken())
+            yield _batch(packer.taken(), stream)
+
+    def pooled(rows: pd.DataFrame) -> pd.DataFrame:
+        # at most a step and a window of each size from each of POOLED tasks
+        packer = Packer(POOLS + int(rows.stream.iloc[0]) // POOLED, tiers, step_tokens)
+        rows = rows.sort_values(["stream", "sequence_id", "offset"], kind="stable")
+        sequences: dict[int, list[tuple]] = {}
+        for row in rows.itertuples(index=False):
+            doc = None if pd.isna(row.doc_id) else int(row.doc_id)
+            if pd.isna(row.sequence_id):
+                packer._wait((doc, int(row.start), bytes(row.ids), int(row.doc_tokens)))
+            else:
+                key = int(row.sequence_id)
+                sequences.setdefault(key, []).append((doc, int(row.start), int(row.length), bytes(row.ids), int(row.doc_tokens), key, int(row.offset), int(row.tier)))
+        for sequence in sequences.values():
+            packer.join(sequence[0][-1], sequence)
+        packer.finish()
+        out = pd.DataFrame(packer.taken(), columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        return out.astype({"doc_id": "Int64"})
+
+    packed = materialize(docs.select("doc_id", "text").mapInArrow(tidy(work), _STREAMED), "packed")
+    rest = packed.where("step_group is null").groupBy((F.col("stream") / POOLED).cast("long").alias("pool")).applyInPandas(pooled, SCHEMA)
+    return packed.where("step_group is not null").drop("stream").unionByName(rest)
+
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(work), SCHEMA)
+def pack_digests(packed: DataFrame) -> DataFrame:
+    """The pieces with their tokens' checksum in place of the tokens."""
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")

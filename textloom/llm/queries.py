@@ -13,7 +13,7 @@ from textloom.llm.html_text import extract_text
 from textloom.llm.jaccard import jaccard_classes
 from textloom.llm.licenses import license_scan
 from textloom.llm.media import media_columns
-from textloom.llm.packing import pack_documents
+from textloom.llm.packing import pack_digests, pack_documents
 from textloom.llm.pii import pii_digest
 from textloom.llm.quality import quality_verdicts
 from textloom.llm.toxicity import toxicity
@@ -32,7 +32,7 @@ def op2_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_digests(pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
