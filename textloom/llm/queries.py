@@ -12,7 +12,7 @@ from textloom.llm.brown import class_scores
 from textloom.llm.html_text import extract_text
 from textloom.llm.jaccard import jaccard_classes
 from textloom.llm.licenses import license_scan
-from textloom.llm.media import media_columns
+from textloom.llm.media import media_columns, media_digests
 from textloom.llm.packing import pack_digests, pack_documents
 from textloom.llm.pii import pii_digest
 from textloom.llm.quality import quality_verdicts
@@ -24,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(_read(spark, sf_dir, "documents"))
+    return media_digests(media_columns(_read(spark, sf_dir, "documents")))
 
 
 def op2_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
