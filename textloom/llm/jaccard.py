@@ -5,16 +5,23 @@
 2. Prefix filter: two sets that link share e of each other's first n - ceil(t n) + e shingles in any
    fixed order. The order puts widely shared shingles last, so that passages common to many documents
    bring nothing together. Any order gives exact results; the counts only decide how much work is left.
-   Sets that share a prefix shingle are joined to the smallest id of the shingle's group (a star, not all
-   pairs). Each set then leaves its weakest stars, as long as the shingles that it shares in those stay
-   below e / 2 in all: of the e shingles that linked sets share, some lie in a star that neither has left.
-   Components of the stars that remain hold every possible link, and what shares but a passage falls apart.
-3. Each component is cut into tiles by size band (sizes of one band differ by a third at most, so links
-   lie within a band or between neighbours) and bounded by shingles. Within a pair of tiles, hashed bitmap
-   signatures bound the overlap from above: |A & B| <= (|A| + |B| - popcount(a ^ b)) / 2. Pairs that may
-   still link and are not connected yet are intersected exactly as sorted arrays.
+   Sets that share a prefix shingle are joined to one set of the shingle's group (a star, not all pairs).
+   Of the widely shared shingles that set is known to every task beforehand, so that none of them gathers
+   its holders anywhere; of the others it is the smallest id. Each set then leaves its weakest stars, as
+   long as the shingles that it shares in those stay below e / 2 in all: of the e shingles that linked sets
+   share, some lie in a star that neither has left. Components of the stars that remain hold every possible
+   link, and what shares but a passage falls apart.
+3. Small components are compared whole. In a large one, every set is first compared with the one whose
+   prefix is shared most, in a join whose hot side is dealt over many keys; what links to it is one group.
+   Only sets of different groups are left to compare. The component is cut into tiles by size band (sizes
+   of one band differ by a third at most, so links lie within a band or between neighbours) and bounded by
+   shingles; large groups have tiles of their own, which are not compared with each other. Within a pair of
+   tiles, hashed bitmap signatures bound the overlap from above: |A & B| <= (|A| + |B| - popcount(a ^ b)) / 2.
+   Pairs that may still link and are not connected yet are intersected exactly as sorted arrays.
 4. Components of the links give every document its class.
 
+Shingles, sets and texts are told apart by 64-bit hashes, so "exact" is up to a collision of these.
+
 Nulls: a null or blank text has an empty set and is linked with nothing; a null doc_id has no id to give
 its class but follows the class of its set. Rows that repeat a doc_id with other texts count as one
 document whose rows are linked. Texts with fewer than five words are one shingle, the whole sequence. An
@@ -48,8 +55,11 @@ EXTRA_PERCENT = 6
 COMMON = 16
 MAX_COMMON = 400_000
 CHUNK_SHINGLES = 3_000_000
-#: Shingles of a tile, and of the small components that one group of rows gathers.
-TILE_SHINGLES = 1_500_000
+#: Shingles of a tile, and of the small components that one group of rows gathers; a component with more
+#: than SMALL_SHINGLES is a large one and is cut into at least LEAST_TILES parts.
+TILE_SHINGLES, SMALL_SHINGLES, LEAST_TILES = 1_500_000, 50_000, 8
+#: Sets of a large component that one key of the first comparison holds.
+STAR_SETS = 200
 CACHE_WORDS = 400_000
 EMPTY = np.empty(0, np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -112,24 +122,25 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-_SETS = "kind int, doc_id long, n long, sid long"
+_SETS = "kind int, doc_id long, n long, sid long, other long"
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: doc_id, n, sid. Rows of kind 1: a shingle (sid) with n, the different sets of one
-    chunk of a task that share it, two or more."""
+def document_sets(hashed: DataFrame) -> DataFrame:
+    """Of doc_id, text and text_hash. Rows of kind 0: doc_id, n, sid and the text's hash. Rows of kind 1: a
+    shingle (sid) with n, the different sets of one chunk of a task that share it, two or more, and one of
+    these sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, seen, total = Shingler(), [], set(), 0
+        shingler, held, sids, seen, total = Shingler(), [], [], set(), 0
+
+        def rows(kind: int, doc_id: pa.Array, n: pa.Array, sid: pa.Array, other: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), doc_id, n, sid, other], ["kind", "doc_id", "n", "sid", "other"])
 
-        def common() -> pa.RecordBatch | None:
-            if not held:
-                return None
-            x, n = np.unique(np.concatenate(held), return_counts=True)
+        def common() -> pa.RecordBatch:
+            x, first, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            holder = np.repeat(np.array(sids, np.int64), [len(h) for h in held])[first[n > 1]]
             x, n = x[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), pa.int64()), pa.array(n.astype(np.int64)), _signed(x)], ["kind", "doc_id", "n", "sid"]
-            )
+            return rows(1, pa.nulls(len(x), pa.int64()), pa.array(n.astype(np.int64)), _signed(x), pa.array(holder))
 
         for batch in batches:
             sizes, ids = [], []
@@ -140,30 +151,31 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 if len(found) and ids[-1] not in seen:
                     seen.add(ids[-1])
                     held.append(found)
+                    sids.append(ids[-1])
                     total += len(found)
                     if total >= CHUNK_SHINGLES:
                         yield common()
-                        held, seen, total = [], set(), 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(ids), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["kind", "doc_id", "n", "sid"]
-            )
+                        held, sids, seen, total = [], [], set(), 0
+            yield rows(0, batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), batch.column(2))
         if held:
             yield common()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(work), _SETS)
+    return hashed.select("doc_id", "text", "text_hash").mapInArrow(tidy(work), _SETS)
 
 
-def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(h, sid) for the prefix shingles of each different set. ``common``: sorted hashes that come last,
-    by their counts."""
-    told = docs.sparkSession.sparkContext.broadcast((common, counts))  # MAX_COMMON pairs at most
+def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray, centres: np.ndarray) -> DataFrame:
+    """Rows (h, sid, m, w) for each different set: its prefix shingles h (m and w are 0), and for its widely
+    shared ones the number w of those whose star has the centre m (h is 0). ``common``: sorted hashes that
+    come last in the order, by their counts, with the centres of their stars."""
+    told = docs.sparkSession.sparkContext.broadcast((common, counts, centres))  # MAX_COMMON of each at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = told.value
-        shingler, seen, hs, sids, held = Shingler(), set(), [], [], 0
+        common, counts, centres = told.value
+        shingler, seen, parts, held = Shingler(), set(), [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate(hs)), pa.array(np.concatenate(sids))], ["h", "sid"])
+            h, sid, m, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([_signed(h), pa.array(sid), pa.array(m), pa.array(w)], ["h", "sid", "m", "w"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -177,17 +189,35 @@ def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFra
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     rank = np.where(common[at] == found, counts[at], 0)
-                    found = found[np.argsort(rank, kind="stable")]
-                hs.append(found[:k])
-                sids.append(np.full(k, sid, np.int64))
-                held += k
+                    order = np.argsort(rank, kind="stable")[:k]
+                    wide = at[order][rank[order] > 0]
+                    found = found[order][rank[order] == 0]
+                    if len(wide):
+                        m, w = np.unique(centres[wide], return_counts=True)
+                        parts.append((np.zeros(len(m), np.uint64), np.full(len(m), sid, np.int64), m, w.astype(np.int64)))
+                        held += len(m)
+                else:
+                    found = found[:k]
+                none = np.zeros(len(found), np.int64)
+                parts.append((found, np.full(len(found), sid, np.int64), none, none))
+                held += len(found)
                 if held >= 200_000:
                     yield rows()
-                    hs, sids, held = [], [], 0
-        if held:
+                    parts, held = [], 0
+        if parts:
             yield rows()
 
-    return docs.select("text").mapInArrow(tidy(work), "h long, sid long")
+    return docs.select("text").mapInArrow(tidy(work), "h long, sid long, m long, w long")
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """(sid, m, w): how many prefix shingles a set shares in the star around m. One exchange, dealt by the
+    shingle or, where the centre is known, by set and centre; copies of a set give equal rows."""
+    key = F.when(F.col("w") > 0, F.xxhash64("sid", "m")).otherwise(F.col("h"))
+    dealt = shared.withColumns({"key": key, "told": F.col("w") > 0}).repartition(F.col("key")).dropDuplicates(["key", "told", "sid", "m", "w"])
+    least = F.min("sid").over(Window.partitionBy("key", "told"))
+    dealt = dealt.withColumn("m", F.when(F.col("told"), F.col("m")).otherwise(least)).where("sid <> m")
+    return dealt.groupBy("sid", "m").agg(F.sum(F.greatest(F.col("w"), F.lit(1))).alias("w"))
 
 
 class _Forest:
@@ -212,10 +242,13 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what is linked at all: a spanning forest of the link graph of these sets."""
+def links_within(sets: list[np.ndarray], labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked at all: a spanning forest of the link graph of these sets. Sets of
+    one label are connected already; where ``sides`` are given, only sets of different sides are compared."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
+    labels = None if labels is None else labels[order]
+    sides = None if sides is None else sides[order]
     forest, found, bands = _Forest(len(order)), [], [band(int(n)) for n in sizes]
     start = 0
     while start < len(order):
@@ -236,11 +269,18 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
                 last = int(np.searchsorted(sizes[: part[-1] + 1], most, "right"))
                 if first >= last:
                     continue
+                others = np.arange(first, last)
+                if labels is not None:
+                    others = others[labels[first:last] != labels[i]]
+                if sides is not None:
+                    others = others[sides[others] != sides[i]]
+                if not len(others):
+                    continue
                 own = maps[i - low] if i >= low else _bitmaps([sets[order[i]]], bits)[0]
-                apart = np.bitwise_count(maps[first - low : last - low] ^ own).sum(axis=1)
-                both = sizes[i] + sizes[first:last]
+                apart = np.bitwise_count(maps[others - low] ^ own).sum(axis=1)
+                both = sizes[i] + sizes[others]
                 overlap = (both - apart) // 2
-                for j in first + np.flatnonzero(100 * overlap >= PERCENT * (both - overlap)):
+                for j in others[np.flatnonzero(100 * overlap >= PERCENT * (both - overlap))]:
                     a, b = forest.root(i), forest.root(int(j))
                     if a != b and linked(sets[order[i]], sets[order[j]]):
                         forest.join(a, b)
@@ -249,74 +289,118 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def _work_units(members: DataFrame) -> DataFrame:
-    """members (comp, sid, rep, n) with one row for each unit that has to look at the set. A small component
-    goes whole into a bucket of small ones; a large one into pairs of tiles of neighbouring size bands."""
-    log = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")
-    members = members.withColumn("band", log)
-    bands = members.groupBy("comp", "band").agg(F.sum("n").alias("weight"))
-    tiles = bands.withColumn("tiles", F.ceil(F.col("weight") / TILE_SHINGLES).cast("int"))
-    # a component has few bands (sizes grow by a third from one to the next), so this array is short
-    comps = tiles.groupBy("comp").agg(F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("by_band"))
-    total = comps.agg(F.sum("total")).first()[0] or 0
-    buckets = max(1, -(-int(total) // TILE_SHINGLES)) * 2
-    own = F.pmod(F.xxhash64("sid"), F.element_at("by_band", F.col("band"))).cast("int")
-    joined = members.join(comps, "comp").withColumn("tile", own)
-    small = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("x"), F.lit("").alias("pair")))
-
-    def partners(step: int):  # noqa: ANN202
-        other = F.col("band") + step
-        count = F.coalesce(F.try_element_at("by_band", other), F.lit(0))
-        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-
-        def pair(t):  # noqa: ANN001, ANN202
-            mine, theirs = F.struct(F.col("band"), F.col("tile")), F.struct(other.alias("band"), t.alias("tile"))
-            low, high = F.least(mine, theirs), F.greatest(mine, theirs)
-            return F.struct(F.col("comp").alias("x"), F.concat_ws(":", low.band, low.tile, high.band, high.tile).alias("pair"))
-
-        return F.transform(numbers, pair)
-
-    units = F.when(F.col("total") <= TILE_SHINGLES, small).otherwise(F.concat(partners(-1), partners(0), partners(1)))
-    return joined.select("comp", "sid", "rep", F.explode(F.array_distinct(units)).alias("unit")).select("comp", "sid", "rep", "unit.x", "unit.pair")
-
-
-def _verify(rows: pd.DataFrame) -> pd.DataFrame:
+def _small_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links within each of the components of a bucket."""
     shingler, out = Shingler(), []
     for _, part in rows.groupby("comp", sort=False):
-        sets, reps = [], []
-        for text, sid, rep in zip(part.text, part.sid, part.rep, strict=True):
-            found = shingler.set_of(text)
-            if set_id(found) == sid:  # a repeated doc_id may bring another text along
-                sets.append(found)
-                reps.append(rep)
-        out += [(reps[i], reps[j]) for i, j in links_within(sets)]
+        reps = part.rep.tolist()
+        out += [(reps[i], reps[j]) for i, j in links_within([shingler.set_of(t) for t in part.text])]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _tile_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the sets of two tiles, or within a tile that is paired with itself."""
+    shingler, reps = Shingler(), rows.rep.tolist()
+    tiles = rows.tile.to_numpy()
+    sides = pd.factorize(tiles)[0] if rows.pair.iloc[0] != "own" else None
+    found = links_within([shingler.set_of(t) for t in rows.text], rows.label.to_numpy(), sides)
+    return pd.DataFrame([(reps[i], reps[j]) for i, j in found], columns=["a", "b"])
+
+
+def _star_links(large: DataFrame, strength: DataFrame) -> DataFrame:
+    """Links of each set of a large component with the component's centre, the set that shares the largest
+    part of its prefix. The centre's text is repeated for every STAR_SETS sets, under a key of its own."""
+    weighed = large.join(strength, "sid").select("comp", "sid", (F.col("shared") / F.col("n")).alias("share"))
+    centres = weighed.groupBy("comp").agg(F.max_by("sid", F.struct("share", "sid")).alias("centre"), F.ceil(F.count("*") / STAR_SETS).cast("int").alias("fan"))
+    told = large.join(centres, "comp").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("fan")).cast("int"))
+    middle = large.join(centres.withColumnRenamed("centre", "sid"), ["comp", "sid"]).select(
+        "comp", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("rep").alias("b"), F.col("text").alias("other")
+    )
+    both = told.where("sid <> centre").select("comp", "salt", F.col("rep").alias("a"), "text").join(middle, ["comp", "salt"]).select("a", "b", "text", "other")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, last, centre = Shingler(), None, EMPTY
+        for batch in batches:
+            a, b = [], []
+            for x, y, text, other in zip(*batch.columns, strict=True):
+                if y != last:
+                    last, centre = y, shingler.set_of(other.as_py())
+                if linked(shingler.set_of(text.as_py()), centre):
+                    a.append(x.as_py())
+                    b.append(y.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return materialize(both.mapInArrow(tidy(work), "a long, b long"), "jaccard-star-links")
+
+
+def _tile_units(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each pair of tiles that has to look at a set. ``labels``: rep and the group that it is
+    known to belong to."""
+    log = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")
+    rows = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root").withColumn("band", log)
+    mixed = rows.groupBy("comp").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.sum("n").alias("total")).where("l1 <> l2").select("comp", "total")
+    weights = rows.join(mixed, "comp").groupBy("comp", "total", "band", "label").agg(F.sum("n").alias("weight"))
+    most = F.least(F.lit(TILE_SHINGLES), F.ceil(F.col("total") / LEAST_TILES))
+    sized = weights.withColumn("tag", F.when(F.col("weight") >= most, F.col("label").cast("string")).otherwise("*"))
+    counts = sized.groupBy("comp", "total", "band", "tag").agg(F.ceil(F.sum("weight") / F.first(most)).cast("int").alias("tiles"))
+    tagged = rows.join(sized.select("comp", "band", "label", "tag"), ["comp", "band", "label"]).join(counts.drop("total"), ["comp", "band", "tag"])
+    tagged = tagged.withColumn("tile", F.concat_ws(":", "band", "tag", F.pmod(F.xxhash64("sid"), F.col("tiles"))))
+    tiles = counts.select("comp", "band", "tag", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("k"))
+    tiles = tiles.select("comp", "band", "tag", F.concat_ws(":", "band", "tag", "k").alias("tile"))
+    # a component's tiles, not its sets, are paired
+    x, y = tiles.alias("x"), tiles.alias("y")
+    near = (F.col("x.comp") == F.col("y.comp")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1)
+    pairs = x.join(y, near).where("x.tag <> y.tag or x.tag = '*'").select(
+        F.col("x.comp").alias("comp"),
+        F.col("x.tile").alias("tile"),
+        F.when(F.col("x.tile") == F.col("y.tile"), "own").otherwise(F.concat_ws("|", F.least("x.tile", "y.tile"), F.greatest("x.tile", "y.tile"))).alias("pair"),
+    )
+    unit = F.when(F.col("pair") == "own", F.concat_ws("|", F.lit("own"), "tile")).otherwise(F.col("pair"))
+    return tagged.join(pairs, ["comp", "tile"]).select("comp", unit.alias("unit"), F.when(F.col("pair") == "own", "own").otherwise("two").alias("pair"), "tile", "label", "rep", "text")
+
+
+def _links(docs: DataFrame, comps: DataFrame, reps: DataFrame, strength: DataFrame) -> DataFrame:
+    """Links between representatives that connect all that is linked."""
+    members = comps.join(reps.where("rep is not null"), "sid")
+    sizes = members.groupBy("comp").agg(F.sum("n").alias("total"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text_hash", "text")
+    # rows of one doc_id and text are one set
+    held = materialize(members.join(sizes, "comp").join(texts, ["rep", "text_hash"]).dropDuplicates(["sid"]), "jaccard-members")
+    small = held.where(F.col("total") <= SMALL_SHINGLES)
+    sums = held.agg(F.sum(F.when(F.col("total") <= SMALL_SHINGLES, F.col("n"))).alias("small"), F.max("total").alias("most")).first()
+    buckets = max(1, -(-int(sums.small or 0) // TILE_SHINGLES)) * 2
+    bucket = F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("bucket")
+    links = small.select("comp", "rep", "text", bucket).groupBy("bucket").applyInPandas(_small_links, "a long, b long")
+    if (sums.most or 0) > SMALL_SHINGLES:
+        large = held.where(F.col("total") > SMALL_SHINGLES).drop("total")
+        found = _star_links(large, strength)
+        units = _tile_units(large, components(found))
+        links = links.union(found).union(units.groupBy("comp", "unit").applyInPandas(_tile_links, "a long, b long"))
+    return materialize(links, "jaccard-links")
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     both = materialize(document_sets(docs), "jaccard-sets")
-    sets = both.where("kind = 0").select("doc_id", "n", "sid")
-    top = (
-        both.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "sid").limit(MAX_COMMON).toPandas()
-    )
+    sets = both.where("kind = 0").select("doc_id", "n", "sid", F.col("other").alias("text_hash"))
+    counted = both.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n"), F.min("other").alias("m")).where(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "sid").limit(MAX_COMMON).toPandas()
     common = top.sid.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
-    # dealt by h alone, so that removing repeats and finding the smallest id need no further exchange
-    shared = prefixes(docs, common[order], top.n.to_numpy(np.int64)[order]).repartition(F.col("h")).dropDuplicates(["h", "sid"])
-    shared = shared.withColumn("m", F.min("sid").over(Window.partitionBy("h"))).where("sid <> m")
-    stars = shared.groupBy("sid", "m").agg(F.count("*").alias("w"))
+    joined = materialize(stars(prefixes(docs, common[order], top.n.to_numpy(np.int64)[order], top.m.to_numpy(np.int64)[order])), "jaccard-stars")
     # equal sets have one id; its smallest document stands for it
-    reps = materialize(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-reps")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    known = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), first.alias("x"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("y"), F.first("n").alias("n"))
+    reps = materialize(known.select("sid", "rep", "n", F.coalesce("y.text_hash", "x.text_hash").alias("text_hash")), "jaccard-reps")
     smaller = F.floor((F.col("n") * PERCENT + 99) / 100)  # the least size of a linked set
     least = F.greatest(F.lit(1), F.floor(smaller * EXTRA_PERCENT / 100))
     weakest = Window.partitionBy("sid").orderBy("w", "m")
-    left = stars.join(reps.select("sid", "n"), "sid").withColumn("upto", F.sum("w").over(weakest))
+    left = joined.join(reps.select("sid", "n"), "sid").withColumn("upto", F.sum("w").over(weakest))
     edges = left.where(2 * F.col("upto") >= least).select(F.col("sid").alias("a"), F.col("m").alias("b"))
     comps = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    units = _work_units(comps.join(reps.where("rep is not null"), "sid"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    links = materialize(units.join(texts, "rep").groupBy("x", "pair").applyInPandas(_verify, "a long, b long"), "jaccard-links")
+    strength = joined.groupBy("sid").agg(F.sum("w").alias("shared")).union(joined.select("m").distinct().select("m", F.lit(0).cast("long")))
+    links = _links(docs, comps, reps, strength.groupBy("sid").agg(F.max("shared").alias("shared")))
     # rows of one doc_id with different sets are one document
     repeated = sets.where("n > 0 and doc_id is not null").join(reps.select("sid", "rep"), "sid").where("doc_id <> rep")
     other = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("s1"), F.max("sid").alias("s2")).where("s1 <> s2").select("doc_id")
@@ -327,8 +411,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class with all its columns: the one of smallest doc_id. Rows that repeat its
-    doc_id go as well; rows without a doc_id stay, as no class can be named after them."""
+    """One document of each class with all its columns: the one of smallest doc_id. Where rows repeat that
+    id, one row of each text stays (of rows that differ elsewhere, the one of least hash); rows without a
+    doc_id stay, as no class can be named after them."""
     keepers = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    held = docs.where("doc_id is not null").select(F.struct("*").alias("row"))  # no column of the caller's meets one of ours
+    kept = held.join(keepers, F.col("row.doc_id") == F.col("doc_id"), "left_semi")
+    one = kept.groupBy("row.doc_id", F.xxhash64("row.text").alias("text_hash")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").union(docs.where("doc_id is null"))
