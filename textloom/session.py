@@ -54,10 +54,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back. Survives the loss
-    of any executor, as nothing is kept on one."""
+    of any executor, as nothing is kept on one. The path is put on ``keep``, for what outlives a scratch."""
     path = fresh_path(df.sparkSession, label)
+    if keep is not None:
+        keep.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
