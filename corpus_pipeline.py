@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import jaccard, packing, pii, quality, toxicity
-from textloom.session import materialize
+from textloom.session import materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,14 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models and packing are beyond SQL; tests/llm holds run() against a brute-force version.
+#: Models and packing are beyond SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. What a stage leaves behind, but for its result, goes as soon as that is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep)
     return STAGES[-1][1](spark, docs, sf_dir)
