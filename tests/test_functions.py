@@ -21,6 +21,26 @@ WIKI = [
     ("[http://x.org label] <b>bold</b> '''it''' __TOC__", "label bold it"),
     ("前（，）后，。；结束", "前后。结束"),
     ("a  b\n\n\n\nc ", "a b\n\nc"),
+    (None, ""),
+    ("a{| x {| y |} z |}b", "a z |}b"),  # T3 takes the outer opening up to the first end
+    ("[[ Category : x]]y", "y"),
+    ("a<gallery mode=x>\nFile:a.jpg|b\n</gallery >c", "ac"),
+    ("-{于}--{}-x", "于x"),
+    ("-{zh-hant:[[File:A.svg]]; zh-hans:[[File:B.svg]]}-x", "x"),
+    ("{{ lang | en | Foo }}", "Foo"),
+    ("a{{x{{y}}z}}b", "ab"),
+    ("[[圖片:a.jpg|thumb]]x", "x"),
+    ("[[File:X.jpg|thumb|[[A|B]]c]]d", "d"),
+    ("[[LIVE 2025|LIVE 2025 [THE CULTURE]]] e", "LIVE 2025 [THE CULTURE] e"),
+    ("[[A [b] c]]", "A [b] c"),
+    ("[http://a.b] x", "x"),
+    ("[https://a.b lab] x", "lab x"),
+    ("a", "'a'"),
+    ("他（...）說（-）了《》。", "他（...）說了。"),
+    ("（（））x", "x"),
+    ("a、、b，。c", "a、b。c"),
+    ("a\tb\u3000", "a\tb"),
+    ("<b>x</b> 1 < 2", "x 1 < 2"),
 ]
 
 

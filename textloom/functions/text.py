@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 REFUSALS = ("cannot answer", "not mentioned", "no relevant", "unable to", "无法回答", "没有提到", "未提及", "資料中沒有")
 MARKUP = ("{{", "}}", "[[", "]]", "<ref", "{|")
 #: Fixed one-to-one pairs of traditional and simplified letters for the default normaliser.
-TRADITIONAL, SIMPLIFIED = "張國學會歷來東車馬長門開關電話語說讀書寫體點時間問題實現發後", "张国学会历来东车马长门开关电话语说读书写体点时间问题实现发后"
+TRADITIONAL, SIMPLIFIED = "張國學會歷來東車馬長門開關電話語說讀書寫體點時間問題實現發後數與這個們腦為過還進運動選舉戰爭聯區縣鄉", "张国学会历来东车马长门开关电话语说读书写体点时间问题实现发后数与这个们脑为过还进运动选举战争联区县乡"
+#: Fixed stop words of the tokeniser.
+STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "for", "on", "was")
+STOP_PAIRS = ("的是", "这个", "那个", "我们", "他们")
 
 SPACE = r"[\s 　]"
 PUNCTUATION = r"[\s\p{P}\p{S}]"
@@ -22,13 +26,13 @@ def replace_all(text: Column, *rules: tuple[str, str]) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of blanks to one, three or more line ends to two, trimmed."""
-    return replace_all(text, (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+    """Runs of two blanks or more to one, three or more line ends to two, trimmed."""
+    return replace_all(text, (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
 
 
 def strip_tags(text: Column) -> Column:
     """Tags of up to 200 characters."""
-    return F.regexp_replace(text, r"<[^<>]{1,200}>", "")
+    return F.regexp_replace(text, r"<[^>]{1,200}>", "")
 
 
 def tokens(text: Column) -> Column:
@@ -36,6 +40,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
 
 
+def mixed_tokens(text: Column, normalise: Callable[[Column], Column] | None = None) -> Column:
+    """C9, C10 without a segmenter: words of two Latin letters or digits that are no number and no stop
+    word, then the pairs of neighbouring letters of each Han run, after normalising the script."""
+    t = F.lower((normalise or to_simplified)(text))
+    words = F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: w.rlike("[a-z]") & ~w.isin(*STOP_WORDS))
+    runs = F.regexp_extract_all(t, F.lit("[\\u4e00-\\u9fff]{2,}"), F.lit(0))
+    return F.concat(words, F.filter(F.flatten(F.transform(runs, lambda r: grams(r, 2))), lambda w: ~w.isin(*STOP_PAIRS)))
+
+
 def letter_ratio(text: Column, letters: str = "[A-Za-z]") -> Column:
     """C3 with the script as a parameter; 0 for an empty text."""
     return F.when(F.length(text) == 0, 0.0).otherwise(F.regexp_count(text, F.lit(letters)) / F.length(text))
@@ -46,15 +59,11 @@ def cjk_ratio(text: Column) -> Column:
 
 
 def max_char_share(text: Column) -> Column:
-    """C4: share of the most frequent character; 1 for an empty text."""
-    chars = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
-
-    def step(s: Column, c: Column) -> Column:
-        n = F.when(c == s.last, s.n + 1).otherwise(1)
-        return F.struct(c.alias("last"), n.alias("n"), F.greatest(s.most, n).alias("most"))
-
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
-    return F.when(F.length(text) == 0, 1.0).otherwise(F.aggregate(chars, start, step, lambda s: s.most) / F.length(text))
+    """C4: share of the most frequent character; 1 for an empty text. One plain search of the text for each
+    of its distinct characters, of which there are few."""
+    n = F.length(text)
+    counts = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    return F.when(n == 0, 1.0).otherwise(F.array_max(counts) / n)
 
 
 def to_simplified(text: Column) -> Column:
@@ -83,7 +92,7 @@ def leak_ratio(question: Column, text: Column) -> Column:
 
 def answer_coverage(answer: Column, text: Column) -> Column:
     """Share of the answer's distinct letters and digits that the text holds; 1 if there are none."""
-    chars = F.array_distinct(F.filter(F.split(F.regexp_replace(answer, "[^A-Za-z0-9]", ""), ""), lambda c: c != ""))
+    chars = F.array_distinct(F.filter(F.split(F.regexp_replace(answer, r"[^\p{L}\p{N}]", ""), ""), lambda c: c != ""))
     held = F.filter(chars, lambda c: F.contains(text, c))
     return F.when(F.size(chars) == 0, 1.0).otherwise(F.size(held) / F.size(chars))
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import tokens
 
 K1, B, MIN_DF = 1.5, 0.75, 2
+#: Pairs of question and term that are sent to every task at most.
+MAX_ENTRIES = 200_000
+WORDS = re.compile("[a-z]{2,}").findall
 
 
 def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -53,6 +64,93 @@ def score_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query:
     )
 
 
+class _Weights(NamedTuple):
+    """Questions by numbers, and for each term of theirs its questions and weights (idf times qtf)."""
+
+    questions: list
+    terms: dict[str, tuple[np.ndarray, np.ndarray]]
+    avgdl: float
+
+
+def _weights(docs: DataFrame, queries: DataFrame, query: str) -> _Weights | None:
+    """Statistics of the questions' terms over all documents, in one pass; at most MAX_ENTRIES entries."""
+    wanted = token_rows(queries, query).where("term is not null").groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    entries = wanted.limit(MAX_ENTRIES + 1).collect()
+    if len(entries) > MAX_ENTRIES:
+        return None
+    terms = ["", *sorted({r["term"] for r in entries})]
+    few = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string"))  # MAX_ENTRIES terms at most
+    split = docs.select(tokens(F.coalesce("text", F.lit(""))).alias("ts"))
+    # the empty term stands for the document itself, whose length it carries; so one pass gives all
+    both = split.select(F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("term"))
+    rows = both.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()
+    whole = next((r for r in rows if r["term"] == ""), None)
+    one = {"n": whole["df"], "avgdl": whole["dl"] / whole["df"]} if whole else {"n": 0, "avgdl": 0.0}
+    idf = {r["term"]: math.log1p((one["n"] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in rows if r["df"] >= MIN_DF and r["term"]}
+    questions = sorted({r[query] for r in entries})
+    place, by_term = {q: i for i, q in enumerate(questions)}, {}
+    for r in sorted(entries, key=lambda r: r[query]):
+        if r["term"] in idf:
+            by_term.setdefault(r["term"], ([], []))
+            by_term[r["term"]][0].append(place[r[query]])
+            by_term[r["term"]][1].append(idf[r["term"]] * r["qtf"])
+    return _Weights(questions, {t: (np.array(q), np.array(w)) for t, (q, w) in by_term.items()}, float(one["avgdl"] or 0))
+
+
+def top_lists(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """B3-B5 for a block of questions: score and coordination of every document that may be among a question's
+    first k by either. Each task holds its k best per question and path, so that what is shuffled is k rows
+    for each question and task and not all that share a word. Blocks of questions too large to send to every
+    task are scored by joins."""
+    weights = _weights(docs, queries, query)
+    if weights is None:
+        return score_terms(docs, queries, key, query)
+    told = docs.sparkSession.sparkContext.broadcast(weights)
+    kind = dict(queries.dtypes)[query]
+    schema = f"{query} {kind}, {key} {dict(docs.dtypes)[key]}, score double, coordination double"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, terms, avgdl = told.value
+        n, held, waiting = len(questions), [], 0
+
+        def cut(parts: list) -> list:
+            """Of all held, what is among the first k of a question by either path, ties kept."""
+            q, keys, score, share = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keep = np.zeros(len(q), bool)
+            for by in (np.round(score, 6), np.round(share, 6)):
+                order = np.lexsort((-by, q))
+                place = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
+                edge = np.full(n, -np.inf)
+                at = order[place == k - 1]
+                edge[q[at]] = by[at]
+                keep |= by >= edge[q] - 2e-6
+            return [(q[keep], keys[keep], score[keep], share[keep])]
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = WORDS((text.as_py() or "").lower())
+                known = Counter(w for w in words if w in terms)
+                if not known:
+                    continue
+                dl, score, matched = len(words), np.zeros(n), np.zeros(n)
+                for term, tf in known.items():
+                    q, w = terms[term]
+                    score[q] += tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)) * w
+                    matched[q] += 1
+                q = np.flatnonzero(matched)
+                held.append((q, np.full(len(q), doc), score[q], matched[q] / math.sqrt(dl + 1.0)))
+                waiting += len(q)
+                if waiting > max(1_000_000, 8 * n * k):
+                    held = cut(held)
+                    waiting = len(held[0][0])
+        if held:
+            (q, keys, score, share) = cut(held)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([questions[i] for i in q]), pa.array(keys), pa.array(score), pa.array(share)], [query, key, "score", "coordination"])
+
+    found = docs.where(F.col(key).isNotNull()).select(key, "text").mapInArrow(work, schema)
+    return found.withColumns({"score": F.round("score", 6), "coordination": F.round("coordination", 6)})
+
+
 def top_k(scored: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", by: str = "score") -> DataFrame:
     """Ranks 1 to k per query, ties by key; Spark cuts each task's groups to k before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc(by), key)

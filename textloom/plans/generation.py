@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import answers, bm25, index, ranking, rerank, testsets
-from textloom.plans.catalog import _FUSED, _RANKED, _SCORED, POOL, _ranked, _scored, query, table
+from textloom.plans.catalog import _FUSED, _RANKED, _SCORED, RERANK_POOL, _ranked, _scored, query, table
 from textloom.session import fresh_path
 
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
@@ -26,21 +26,21 @@ def index_search(spark, sf_dir):
 
 
 _RERANKED = f"""{_RANKED}, {_FUSED}, pairs AS (SELECT f.item_id, f.doc_id, f.rank, b.text AS question, d.text AS passage, list_distinct({_WORDS.format('b.text')}) AS qw, {_WORDS.format('d.text')} AS dw
-  FROM fused f JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE f.rank <= 20)"""
+  FROM fused f JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE f.rank <= 50)"""
 
 
 @query(f"""WITH {_RERANKED}, s AS (SELECT item_id, doc_id, rank, round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END, 6) AS rerank_score FROM pairs)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, rank) AS new_rank FROM s) WHERE new_rank <= 5""")
 def rerank_topk(spark, sf_dir):
     """X1 (lexical), X2, X4."""
-    got = rerank.retrieve(_ranked(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), topk=5, pool=POOL)
+    got = rerank.retrieve(_ranked(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), topk=5, pool=RERANK_POOL)
     return got.select("item_id", "doc_id", "rank", "rerank_score", "new_rank")
 
 
 @query(f"WITH {_RERANKED} SELECT max_length, rank, count(*) AS pairs, sum((len(dw) > max_length - len({_WORDS.format('question')}) - 4)::INT)::BIGINT AS truncated FROM pairs, (SELECT unnest([256, 512, 1024]) AS max_length) GROUP BY ALL")
 def truncation_by_rank(spark, sf_dir):
     """X3, M5, M12."""
-    fused = ranking.rrf(_ranked(spark, sf_dir), topn=POOL)
+    fused = ranking.rrf(_ranked(spark, sf_dir), topn=RERANK_POOL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = fused.join(docs, "doc_id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
     sizes = pairs.select("rank", T.tokens(F.col("question")).alias("q"), T.tokens(F.col("text")).alias("d")).select("rank", F.size("q").alias("q"), F.size("d").alias("d"))
@@ -50,7 +50,7 @@ def truncation_by_rank(spark, sf_dir):
 
 def _records(spark, sf_dir):
     """Records of the extractive backend over the best five; every fourth question counts as out of base."""
-    hits = bm25.top_k(_scored(spark, sf_dir), 5)
+    hits = bm25.top_k(_scored(spark, sf_dir, 5), 5)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     hit = F.struct(F.col("rank").cast("int").alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("text"))
