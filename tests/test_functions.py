@@ -35,7 +35,7 @@ WIKI = [
     ("[[A [b] c]]", "A [b] c"),
     ("[http://a.b] x", "x"),
     ("[https://a.b lab] x", "lab x"),
-    ("a", "'a'"),
+    ("'" * 4 + "a" + "'" * 4, "'a'"),  # three are a mark, the fourth is text
     ("他（...）說（-）了《》。", "他（...）說了。"),
     ("（（））x", "x"),
     ("a、、b，。c", "a、b。c"),

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,25 +90,35 @@ def norm_audit(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
 def inverted_file(vectors: DataFrame, nlist: int, seed: int = 42, sample: int = 300_000, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """V2, V3: (centroids, vectors with their cell). Trained on at most ``sample`` rows, all are assigned."""
     train = vectors.orderBy(F.xxhash64(key)).limit(sample).select(array_to_vector(vector).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(train)
+    model = KMeans(k=nlist, seed=seed, maxIter=10, predictionCol="cell").fit(train)
     spark = vectors.sparkSession
     centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cid int, centre array<double>")
-    placed = vectors.join(F.broadcast(centres)).groupBy(key).agg(  # nlist rows
-        F.first(vector).alias(vector), F.max_by("cid", F.struct(_near(vector), -F.col("cid"))).alias("cid")
-    )
-    return centres, placed
+    return centres, place(vectors, model, key, vector)
 
 
 def _near(vector: str) -> Column:
     return dot(F.col(vector), F.col("centre")) - dot(F.col("centre"), F.col("centre")) / 2
 
 
-def inverted_top_k(centres: DataFrame, placed: DataFrame, queries: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def best_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+
+
+def inverted_scores(centres: DataFrame, placed: DataFrame, queries: DataFrame, nprobe: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """V4: each query looks into its nprobe nearest cells only, joined by cell."""
     few = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
     w = Window.partitionBy("query_id").orderBy(F.desc("near"), "cid")
     probes = few.join(F.broadcast(centres)).withColumn("near", _near("query_vector")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= nprobe)
     scored = placed.join(probes.select("query_id", "query_vector", "cid"), "cid").where(F.col("query_id") != F.col(key))
-    scored = scored.select("query_id", key, F.round(dot(F.col(vector), F.col("query_vector")), 6).alias("score"))
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return scored.select("query_id", key, F.round(dot(F.col(vector), F.col("query_vector")), 6).alias("score"))
+
+
+def inverted_top_k(centres: DataFrame, placed: DataFrame, queries: DataFrame, k: int, nprobe: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """V4 cut to the first k of each query."""
+    return best_k(inverted_scores(centres, placed, queries, nprobe, key, vector), k, key)
+
+
+def place(vectors: DataFrame, model: KMeansModel, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """V3: every vector with the number of its cell, row by row, without a row for each pair."""
+    return model.transform(vectors.withColumn("features", array_to_vector(vector))).select(key, vector, F.col("cell").alias("cid"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.wikitext import clean_wikitext
 from textloom.operators import bm25, chunking, ranking, vectors
+from textloom.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -466,15 +467,23 @@ def vector_norm_audit(spark, sf_dir):
 
 @query()
 def ivf_topk_recall(spark, sf_dir):
-    """Recall at 10 of the inverted file against the exact search, for several nprobe."""
+    """Recall at 10 of the inverted file against the exact search, with the share of vectors that
+    are scanned, for several nprobe; enough marks the smallest nprobe that reaches a recall of 0.95."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0")
     truth = vectors.exact_top_k(e, q, 10).select("query_id", "vec_id")
-    total = truth.agg(F.count("*").alias("total"))
+    sizes = truth.agg(F.count("*").alias("total")).join(F.broadcast(e.agg(F.count("*").alias("rows"))))  # one row each
     centres, placed = vectors.inverted_file(e, nlist=16)
+    placed = materialize(placed, "ivf-placed")
     out = None
-    for nprobe in (1, 4, 16):
-        hits = vectors.inverted_top_k(centres, placed, q, 10, nprobe).join(truth, ["query_id", "vec_id"], "left_semi")
-        row = hits.agg(F.count("*").alias("hits")).join(F.broadcast(total)).select(F.lit(nprobe).alias("nprobe"), (F.col("hits") / F.col("total")).alias("recall"))
+    for nprobe in (1, 2, 4, 8, 16):
+        scored = vectors.inverted_scores(centres, placed, q, nprobe)
+        hits = vectors.best_k(scored, 10).join(truth, ["query_id", "vec_id"], "left_semi").agg(F.count("*").alias("hits"))
+        seen = scored.agg(F.count("*").alias("seen"), F.count_distinct("query_id").alias("n"))
+        row = hits.join(F.broadcast(seen)).join(F.broadcast(sizes)).select(  # one row each
+            F.lit(nprobe).alias("nprobe"), (F.col("hits") / F.col("total")).alias("recall"), F.round(F.col("seen") / (F.col("n") * (F.col("rows") - 1)), 4).alias("scan_ratio")
+        )
         out = row if out is None else out.union(row)
-    return out
+    out = materialize(out, "ivf-sweep")
+    least = out.where("recall >= 0.95").agg(F.min("nprobe").alias("least"))
+    return out.join(F.broadcast(least)).select("nprobe", "recall", "scan_ratio", F.col("nprobe").eqNullSafe(F.col("least")).alias("enough"))
