@@ -127,7 +127,7 @@ def _items(spark, sf_dir):
     return asked.join(docs, F.col("qid") == F.col("gold_chunk_id"))
 
 
-@query(r"""WITH p AS (SELECT b.item_id AS qid, ['easy', 'hard_para', 'oob'][(b.item_id % 3 + 1)::INT] AS kind, b.text AS q, d.text AS t, list_distinct(list_filter(string_split(regexp_replace(substring(b.text, 1, 12), '[^A-Za-z0-9]', '', 'g'), ''), lambda c: c <> '')) AS cs FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+@query(r"""WITH p AS (SELECT b.item_id AS qid, ['easy', 'hard_para', 'oob'][(b.item_id % 3 + 1)::INT] AS kind, b.text AS q, d.text AS t, list_distinct(list_filter(string_split(regexp_replace(substring(b.text, 1, 12), '[^\p{L}\p{N}]', '', 'g'), ''), lambda c: c <> '')) AS cs FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
  s AS (SELECT qid, kind, CASE WHEN length(q) < 4 THEN 0 ELSE round(len(list_filter(list_transform(range(1, length(q) - 2), lambda i: substring(q, i, 4)), lambda g: contains(t, g))) / (length(q) - 3), 3) END AS leak,
   CASE WHEN len(cs) = 0 THEN 1 ELSE round(len(list_filter(cs, lambda c: contains(t, c))) / len(cs), 3) END AS coverage FROM p),
  w AS (SELECT *, concat_ws('/', CASE WHEN (kind = 'easy' AND leak > 0.85) OR (kind = 'hard_para' AND leak > 0.55) THEN 'leak' END, CASE WHEN coverage < 0.85 THEN 'coverage' END) AS warn FROM s)
