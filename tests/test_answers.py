@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.operators import faithfulness as faith
 from textloom.operators import answers, rerank, testsets
 
 RECORD = "qid long, kind string, question string, answer string, refused boolean, gold_chunk_id string, gold_answer string, hits array<struct<rank:int,chunk_id:string,text:string>>"
@@ -90,3 +91,27 @@ def test_question_sets(spark):
     assert tuple(testsets.flips(checked, after).first()) == (5, 3, 1)
     out = spark.createDataFrame([("x",)], "value string")
     assert testsets.finalise(checked, "v1", out).count() == 2
+
+
+def test_claims_by_hand(spark):
+    """A cited claim must have its numbers in one passage it cites; one without is held against all."""
+    rows = [
+        (1, "In 1982 the red house burned [1]. It was rebuilt, at great cost. Yes [9].", ["the red house burned in 1982", "it was rebuilt at great cost"]),
+        (2, "In 1983 the red house burned [1].", ["the red house burned in 1982"]),
+        (3, "根据资料[1]。鄧小平會見撒切尔夫人[1]。", ["鄧小平会见撒切尔夫人"]),
+        (4, "Anything at all here.", None),
+        (5, None, ["a passage"]),
+    ]
+    claims = faith.claims(spark.createDataFrame(rows, "qid long, answer string, contexts array<string>"))
+    got = {(r.qid, r.claim): r for r in claims.where("level = 'sentence'").collect()}
+    assert got[1, "In 1982 the red house burned [1]."].words_strict and got[1, "It was rebuilt, at great cost."].words_lenient
+    assert not got[1, "It was rebuilt, at great cost."].words_strict
+    assert got[1, "Yes [9]."].coverage == 0.0 and not got[1, "Yes [9]."].lenient  # cites a passage that isn't there
+    wrong = got[2, "In 1983 the red house burned [1]."]
+    assert wrong.num_missing == ["1983"] and not wrong.words_lenient
+    assert (3, "根据资料[1]") in got  # with a citation it is no filler
+    parts = {(r.qid, r.claim) for r in claims.where("level = 'clause'").collect()}
+    assert (1, "at great cost.") in parts and (3, "根据资料[1]") not in parts
+    sums = {r.qid: r for r in faith.faithfulness(claims, "qid").collect()}
+    assert sums[1].n_sent == 3 and sums[2].num_violations == 1 and sums[2].ratio_lenient == 0.0
+    assert (sums[4].n_sent, sums[4].ratio_lenient, sums[4].clause_lenient) == (0, None, None) and sums[5].n_clause == 0

@@ -19,6 +19,10 @@ TRADITIONAL, SIMPLIFIED = "張國學會歷來東車馬長門開關電話語說
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "for", "on", "was")
 STOP_PAIRS = ("的是", "这个", "那个", "我们", "他们")
 
+#: Fixed patterns: what ends a sentence and a clause.
+SENTENCE_END = r"[。！？；\n]+|(?<=[.!?])\s+"
+CLAUSE_END = r"[，,；;：:]+|\s*[（(][^）)]{0,20}[）)]\s*"
+
 SPACE = r"[\s 　]"
 PUNCTUATION = r"[\s\p{P}\p{S}]"
 
@@ -112,8 +116,13 @@ def is_listy(text: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 4) -> Column:
-    """C17."""
-    return F.filter(F.split(text, r"[.!?\n。！？]+"), lambda s: F.length(s) >= least)
+    """C17: trimmed sentences of ``least`` characters or more; a Latin full stop ends one before white space."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+
+
+def clauses(sentence: Column) -> Column:
+    """C17: parts between commas, colons, semicolons and short brackets."""
+    return F.filter(F.transform(F.split(sentence, CLAUSE_END), lambda c: F.trim(c)), lambda s: s != "")
 
 
 def citations(answer: Column) -> Column:

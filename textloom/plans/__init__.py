@@ -1,5 +1,5 @@
 """Queries over the test tables; importing the package registers all of them in the catalog."""
 
-from textloom.plans import catalog, generation
+from textloom.plans import answers_check, catalog, generation
 
-__all__ = ["catalog", "generation"]
+__all__ = ["answers_check", "catalog", "generation"]

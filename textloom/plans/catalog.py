@@ -424,7 +424,7 @@ _GRAMS = "CASE WHEN length({0}) < 2 THEN [] ELSE list_distinct(list_transform(ra
  p AS (SELECT conv_id, turn, role, {_GRAMS.format('t')} AS g, lag(t) OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS c FROM f)
  SELECT conv_id, turn, CASE WHEN c IS NULL OR len(g) = 0 THEN NULL ELSE round(len(list_intersect(g, {_GRAMS.format('c')})) / len(g), 6) END AS coverage FROM p WHERE role = 'assistant'""")
 def faithfulness_bigram(spark, sf_dir):
-    """Share of an answer's 2-grams in the turn before it; null without a context."""
+    """Share of an answer's 2-grams in the turn before it; null without a context."""
     flat = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "t")
     p = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", flat.alias("t")).withColumn("c", F.lag("t").over(w))
