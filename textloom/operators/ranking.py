@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rrf(ranked: DataFrame, k: int = 10, topn: int = 10, query: str = "item_id", key: str = "doc_id", weight: Column | None = None) -> DataFrame:
-    """Sum of weight / (k + rank) over paths; ranks by fused score, ties by key."""
+def rrf(ranked: DataFrame, k: int = 10, topn: int = 10, query: str = "item_id", key: str = "doc_id", weight: Column | None = None, paths: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of weight / (k + rank) over paths; ranks by fused score, ties by key. J3: for each of
+    ``paths`` the rank that a row had there, null where it was not listed, from the same aggregation."""
     share = (F.lit(1.0) if weight is None else weight) / (k + F.col("rank"))
-    fused = ranked.groupBy(query, key).agg(F.round(F.sum(share), 9).alias("fused"))
+    fused = ranked.groupBy(query, key).agg(F.round(F.sum(share), 9).alias("fused"), *[F.max(F.when(F.col("path") == p, F.col("rank"))).alias(f"{p}_rank") for p in paths])
     w = Window.partitionBy(query).orderBy(F.desc("fused"), key)
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topn).withColumn("rank", F.col("rank").cast("long"))
 
