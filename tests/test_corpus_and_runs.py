@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import corpus, runs
+from textloom.operators import corpus, pool, ranking, runs
 
 DOCS = "doc_id long, text string"
 
@@ -50,3 +50,16 @@ def test_winner_and_align(spark):
     left = spark.createDataFrame([(1, True), (2, None), (3, True)], "q long, ok boolean")
     right = spark.createDataFrame([(1, False), (2, True), (7, True)], "q long, ok boolean")
     assert tuple(runs.align(left, right, "q", "ok").first()) == (2, 1, 1, 1, 1)
+
+
+def test_persons_and_shares(spark):
+    rows = [("李白", "李白（701年－762年）"), ("東車站", "出生于"), ("竹", "汉族"), ("王某", "生于山坡"), ("王某", "x" * 200 + "逝世")]
+    df = spark.createDataFrame(rows, "title string, text string")
+    assert [r[0] for r in df.select(pool.is_person_like(F.col("title"), F.col("text"))).collect()] == [True, False, False, False, False]
+    assert sum(n for _, _, n in pool.shares(5, 3, 1, 7)) == 16
+
+
+def test_one_sided_sign_test(spark):
+    df = spark.createDataFrame([(3, 1), (1, 3), (0, 0)], "w long, l long")
+    got = [r[0] for r in df.select(ranking.sign_test(F.col("w"), F.col("l"), one_sided=True)).collect()]
+    assert got == [5 / 16, 15 / 16, 1.0]

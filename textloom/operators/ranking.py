@@ -48,14 +48,14 @@ def metrics(ranks: DataFrame, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), hit(1), hit(5), hit(10), mrr)
 
 
-def sign_test(wins: Column, losses: Column) -> Column:
-    """Exact two-sided sign test, 1 without any difference. The binomial terms follow one from
+def sign_test(wins: Column, losses: Column, one_sided: bool = False) -> Column:
+    """Exact sign test, two-sided or (more wins than chance gives) one-sided, 1 without any difference. The binomial terms follow one from
     another, so that no factorial overflows; n is the number of questions that differ."""
-    n, k = wins + losses, F.least(wins, losses)
+    n, k = wins + losses, losses if one_sided else F.least(wins, losses)
     state = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, i: Column) -> Column:
         return F.struct((s.term * (n - i) / (i + 1)).alias("term"), (s.sum + s.term).alias("sum"))
 
     tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), state, step, lambda s: s.sum)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail if one_sided else 2 * tail))
