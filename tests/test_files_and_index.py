@@ -5,6 +5,9 @@ import bz2
 import pytest
 from pyspark.sql import Row
 
+from pyspark.sql import functions as F
+
+from textloom.operators import vectors
 from textloom.operators import bm25, index
 from textloom.sources import dumps, files
 
@@ -85,3 +88,22 @@ def test_index_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     built = index.build(docs, str(tmp_path / "i"), files=1)
     assert index.search(built, docs.withColumnRenamed("doc_id", "item_id"), 3).isEmpty()
+
+
+def test_cells_on_disk(spark, tmp_path):
+    """Codes are half a step off at most; a dimension without range and a null vector do no harm."""
+    rows = [(i, [float(i % 7), 1.0, -float(i)]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    placed = df.withColumn("cid", (F.col("vec_id") % 3).cast("int"))
+    centres = spark.createDataFrame([(i, [3.0, 1.0, -30.0 + i]) for i in range(3)], "cid int, centre array<double>")
+    vectors.write_cells(centres, placed, str(tmp_path))
+    assert sorted(p.name for p in (tmp_path / "cells").iterdir() if p.is_dir()) == ["cid=0", "cid=1", "cid=2"]
+    ends = {r.pos: (r.low, round(r.step * 255, 9)) for r in spark.read.parquet(f"{tmp_path}/bounds").collect()}
+    assert ends == {0: (0.0, 6.0), 1: (1.0, 0.0), 2: (-59.0, 59.0)}
+    queries = spark.createDataFrame([(100, [1.0, 2.0, 0.5])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in vectors.search_cells(spark, str(tmp_path), queries, 3).collect()}
+    assert len(got) == 60
+    assert all(abs(got[i] - (i % 7 + 2 - 0.5 * i)) <= 0.5 * 6 / 255 + 0.5 * 0.5 * 59 / 255 + 1e-9 for i in range(60))
+    assert vectors.search_cells(spark, str(tmp_path), queries, 1).count() == 20
+    best = vectors.two_stage_top_k(spark, str(tmp_path), df, queries, 2, 3, 10).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in best] == [(6, 5.0), (5, 4.5)]

@@ -1,4 +1,5 @@
-"""Vector search: exact by matrix products, and an inverted file over k-means cells."""
+"""Vector search: exact by matrix products, an inverted file over k-means cells, in memory or on
+disk with 8-bit codes, and both in turn."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: More queries than this go block by block instead of as one broadcast.
@@ -122,3 +123,60 @@ def inverted_top_k(centres: DataFrame, placed: DataFrame, queries: DataFrame, k:
 def place(vectors: DataFrame, model: KMeansModel, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """V3: every vector with the number of its cell, row by row, without a row for each pair."""
     return model.transform(vectors.withColumn("features", array_to_vector(vector))).select(key, vector, F.col("cell").alias("cid"))
+
+
+LEVELS = 255
+
+
+def bounds(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """V4: (pos, low, step) of every dimension: its least value and a 255th of its range. Each task gives one
+    row a dimension, so that the exchange does not grow with the vectors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.array(batch.column(0).to_pylist(), np.float64)
+            low = rows.min(axis=0) if low is None else np.minimum(low, rows.min(axis=0))
+            high = rows.max(axis=0) if high is None else np.maximum(high, rows.max(axis=0))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low), dtype=np.int32)), pa.array(low), pa.array(high)], ["pos", "low", "high"])
+
+    ends = vectors.where(F.col(vector).isNotNull()).select(vector).mapInArrow(work, "pos int, low double, high double")
+    return ends.groupBy("pos").agg(F.min("low").alias("low"), ((F.max("high") - F.min("low")) / LEVELS).alias("step"))
+
+
+def write_cells(centres: DataFrame, placed: DataFrame, path: str, key: str = "vec_id", vector: str = "embedding") -> None:
+    """K7: the inverted file on disk: ``cells`` partitioned by cid with 8-bit codes, ``centres`` and
+    ``bounds``. Rows are dealt by cell and large cells split, so that a hot one is no single task."""
+    ends = bounds(placed, vector)
+    ends.write.mode("overwrite").parquet(f"{path}/bounds")
+    centres.write.mode("overwrite").parquet(f"{path}/centres")
+    rows = placed.sparkSession.read.parquet(f"{path}/bounds").agg(F.array_sort(F.collect_list(F.struct("pos", "low", "step"))).alias("b"))  # one entry a dimension
+    code = lambda x, b: F.when(b.step > 0, F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.round((x - b.low) / b.step)))).otherwise(0).cast("short")
+    coded = placed.where(F.col(vector).isNotNull()).join(F.broadcast(rows)).select(key, F.zip_with(vector, "b", code).alias("codes"), "cid")
+    coded.hint("rebalance", "cid").write.mode("overwrite").partitionBy("cid").parquet(f"{path}/cells")
+
+
+def search_cells(spark: SparkSession, path: str, queries: DataFrame, nprobe: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """V4 on disk: (query_id, key, score) of the nprobe cells nearest to each query, of which alone the
+    files are read. A vector's value is low + code * step, so a query is scaled once instead of each row."""
+    centres, ends = spark.read.parquet(f"{path}/centres"), spark.read.parquet(f"{path}/bounds")
+    told = ends.agg(F.array_sort(F.collect_list(F.struct("pos", "low", "step"))).alias("b"))  # one entry a dimension
+    few = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector")).join(F.broadcast(told))
+    few = few.withColumn("base", dot(F.col("query_vector"), F.transform("b", lambda b: b.low))).withColumn("scaled", F.zip_with("query_vector", "b", lambda x, b: x * b.step)).drop("b")
+    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "cid")
+    probes = few.join(F.broadcast(centres)).withColumn("near", _near("query_vector")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= nprobe)
+    scored = spark.read.parquet(f"{path}/cells").join(probes.select("query_id", "base", "scaled", "cid"), "cid").where(F.col("query_id") != F.col(key))
+    return scored.select("query_id", key, (F.col("base") + dot(F.col("codes"), F.col("scaled"))).alias("score"))
+
+
+def two_stage_top_k(spark: SparkSession, path: str, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int, depth: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """V6: the best ``depth`` by codes are scored again by their vectors, of which k stay. A neighbour
+    outside of the nprobe cells, or beyond ``depth`` by its codes, is missed."""
+    near = best_k(search_cells(spark, path, queries, nprobe, key, vector), depth, key).select("query_id", key)
+    few = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
+    full = near.join(vectors.select(key, vector), key).join(few, "query_id")
+    exact = full.select("query_id", key, F.round(dot(F.col(vector), F.col("query_vector")), 6).alias("score"))
+    return best_k(exact, k, key).withColumn("rank", F.col("rank").cast("long"))
