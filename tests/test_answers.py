@@ -90,7 +90,9 @@ def test_question_sets(spark):
     after = checked.withColumn("pass_local", F.col("qid") <= 4)
     assert tuple(testsets.flips(checked, after).first()) == (5, 3, 1)
     out = spark.createDataFrame([("x",)], "value string")
-    assert testsets.finalise(checked, "v1", out).count() == 2
+    known = checked.withColumn("answerable_in_kb", F.lit(False))
+    assert [r.kind for r in testsets.finalise(known, "v1", out).collect()] == [None, "oob"]  # the unknown kind before what is out of base
+    assert {(r.kind, r.reason) for r in testsets.decided(checked, "v1", out).collect() if r.kind in ("oob", None)} == {("oob", "not known to be out of base"), (None, None)}
 
 
 def test_claims_by_hand(spark):

@@ -4,11 +4,9 @@ import bz2
 
 import pytest
 from pyspark.sql import Row
-
 from pyspark.sql import functions as F
 
-from textloom.operators import vectors
-from textloom.operators import bm25, index
+from textloom.operators import bm25, index, vectors
 from textloom.sources import dumps, files
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/">

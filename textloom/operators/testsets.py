@@ -17,6 +17,8 @@ DEIXIS = (
     "该公司", "该组织", "该人物", "这个人物", "该建筑", "该事件", "该作品",
     "这所", "这间", "该馆", "该站", "该地区", "该物种",
 )
+#: Kinds from easy to hard; those out of base come last.
+KINDS = ("easy", "hard_anon", "hard_para", "t2s", "s2t")
 ANCHOR = r"[《〈「『\"“]|（[^）]{2,}）|\([^)]{2,}\)"
 NUMBER = r"\d+(?:\.\d+)?"
 
@@ -87,7 +89,30 @@ def flips(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(~F.col("a") & F.col("b")).alias("now_pass"), F.count_if(F.col("a") & ~F.col("b")).alias("now_fail"))
 
 
+def decided(items: DataFrame, tag: str, excluded: DataFrame) -> DataFrame:
+    """Every item with the id of its question, its kind by the measured scripts, and the reason
+    that keeps it out of the set (the first that holds, null if it stays). Items have pass_local and warn;
+    q_traditional, c_traditional and answerable_in_kb may be missing and count as null then. ``excluded``:
+    ids by hand in column value. An item out of base stays only if it is known not to be answerable."""
+    optional = [c for c in ("q_traditional", "c_traditional", "answerable_in_kb") if c not in items.columns]
+    full = items.withColumns({c: F.lit(None).cast("boolean") for c in optional})
+    q, c = F.coalesce("q_traditional", F.lit(False)), F.coalesce("c_traditional", F.lit(False))
+    crossing = F.coalesce(F.col("kind").isin("t2s", "s2t"), F.lit(False))
+    oob = F.coalesce(F.col("kind") == "oob", F.lit(False))
+    named = full.withColumns({"qid": T.question_id(F.lit(tag), F.coalesce("question", F.lit(""))), "kind": F.when(crossing & q & ~c, "t2s").when(crossing & c & ~q, "s2t").otherwise(F.col("kind"))})
+    marked = named.join(excluded.select(F.col("value").alias("qid"), F.lit(True).alias("by_hand")).dropDuplicates(["qid"]), "qid", "left")
+    why = (
+        F.when(crossing & (q == c), "same script")
+        .when(oob & F.col("answerable_in_kb"), "answerable")
+        .when(oob & F.col("answerable_in_kb").isNull(), "not known to be out of base")
+        .when(~oob & ~F.coalesce("pass_local", F.lit(False)), F.coalesce(F.nullif(F.col("warn"), F.lit("")) if "warn" in items.columns else F.lit(None), F.lit("local checks")))
+        .when(F.col("by_hand"), "excluded by hand")
+    )
+    return marked.withColumn("reason", why).drop("by_hand", *optional)
+
+
 def finalise(items: DataFrame, tag: str, excluded: DataFrame) -> DataFrame:
-    """Q7: passed items that no list excludes, with the ids of their questions; ``excluded``: column value."""
-    named = items.where("pass_local").withColumn("qid", T.question_id(F.lit(tag), F.col("question")))
-    return named.join(excluded.select(F.col("value").alias("qid")), "qid", "left_anti")
+    """The items that stay, by kind from easy to out of base, then by id."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.coalesce("kind", F.lit("")))
+    order = F.when(place > 0, place).when(F.col("kind") == "oob", len(KINDS) + 2).otherwise(len(KINDS) + 1)
+    return decided(items, tag, excluded).where("reason is null").drop("reason").orderBy(order, "qid")

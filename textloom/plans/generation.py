@@ -142,3 +142,21 @@ def testset_audit(spark, sf_dir):
     """Q8, Q4, A13."""
     items = testsets.script_labels(testsets.local_checks(_items(spark, sf_dir)))
     return testsets.audit(items.withColumn("answerable", F.col("kind") == "oob"))
+
+
+@query(r"""WITH p AS (SELECT item_id, ['easy', 'hard_para', 'oob', 't2s', 's2t'][(item_id % 5 + 1)::INT] AS kind, item_id % 3 = 0 AS qt, item_id % 4 = 0 AS ct, item_id % 7 <> 0 AS pass_local, 'set-' || substring(md5(text), 1, 6) AS qid,
+  CASE item_id % 6 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS known FROM benchmark)
+ SELECT item_id, qid, CASE WHEN kind IN ('t2s', 's2t') AND qt AND NOT ct THEN 't2s' WHEN kind IN ('t2s', 's2t') AND ct AND NOT qt THEN 's2t' ELSE kind END AS kind,
+  CASE WHEN kind IN ('t2s', 's2t') AND qt = ct THEN 'same script' WHEN kind = 'oob' AND known THEN 'answerable' WHEN kind = 'oob' AND known IS NULL THEN 'not known to be out of base' WHEN kind <> 'oob' AND NOT pass_local THEN 'leak'
+   WHEN qid IN (SELECT 'set-' || substring(md5(text), 1, 6) FROM benchmark WHERE item_id % 9 = 0) THEN 'excluded by hand' END AS reason FROM p""")
+def testset_decisions(spark, sf_dir):
+    """Marks and verdicts made by rule, so that every reason occurs."""
+    i = F.col("item_id")
+    kind = F.element_at(F.array(*map(F.lit, ("easy", "hard_para", "oob", "t2s", "s2t"))), (i % 5 + 1).cast("int"))
+    known = F.when(i % 6 == 0, F.lit(None)).otherwise(i % 6 == 1)
+    asked = table(spark, sf_dir, "benchmark")
+    items = asked.select(
+        "item_id", kind.alias("kind"), F.col("text").alias("question"), (i % 3 == 0).alias("q_traditional"), (i % 4 == 0).alias("c_traditional"), (i % 7 != 0).alias("pass_local"), F.lit("leak").alias("warn"), known.alias("answerable_in_kb")
+    )
+    excluded = asked.where(i % 9 == 0).select(T.question_id(F.lit("set"), F.col("text")).alias("value"))
+    return testsets.decided(items, "set", excluded).select("item_id", "qid", "kind", "reason")
