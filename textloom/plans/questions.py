@@ -44,4 +44,4 @@ def question_candidates(spark, sf_dir):
 def question_plan(spark, sf_dir):
     """40 easy, 20 without a name, 20 paraphrased and 11 across scripts."""
     planned = pool.assign(pool.candidates(_chunks(spark, sf_dir)), pool.shares(40, 20, 20, 11))
-    return planned.select("title", "chunk_id", "script", "place", "kind")
+    return planned.select("title", "chunk_id", "script", F.col("place").cast("long").alias("place"), "kind")
