@@ -48,6 +48,14 @@ def metrics(ranks: DataFrame, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), hit(1), hit(5), hit(10), mrr)
 
 
+def by_mode(ranked: DataFrame, mode: str, k: int = 10, query: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """(query, key, score, rank) of one path of ``ranked`` (the mode is its name) or, as hybrid, of both
+    fused from their whole lists."""
+    if mode == "hybrid":
+        return rrf(ranked, topn=k, query=query, key=key).select(query, key, F.col("fused").alias("score"), "rank")
+    return ranked.where((F.col("path") == mode) & (F.col("rank") <= k)).select(query, key, "score", "rank")
+
+
 def sign_test(wins: Column, losses: Column, one_sided: bool = False) -> Column:
     """Exact sign test, two-sided or (more wins than chance gives) one-sided, 1 without any difference. The binomial terms follow one from
     another, so that no factorial overflows; n is the number of questions that differ."""

@@ -66,6 +66,14 @@ def fused_path_ranks(spark, sf_dir):
     return ranking.rrf(_ranked(spark, sf_dir), paths=("bm25", "coord"))
 
 
+@query(f"WITH {_RANKED}, {_FUSED} SELECT path AS mode, item_id, doc_id, score, rank FROM ranked WHERE rank <= 10 UNION ALL SELECT 'hybrid', item_id, doc_id, fused, rank FROM fused WHERE rank <= 10")
+def search_modes(spark, sf_dir):
+    """R4."""
+    ranked = _ranked(spark, sf_dir)
+    each = [ranking.by_mode(ranked, m).select(F.lit(m).alias("mode"), "item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")) for m in ("bm25", "coord", "hybrid")]
+    return each[0].union(each[1]).union(each[2])
+
+
 _BY_SLICE = f"m AS (SELECT path, coalesce(long_q::VARCHAR, 'all') AS slice, {_M} FROM ranks GROUP BY GROUPING SETS ((path), (path, long_q)))"
 
 
