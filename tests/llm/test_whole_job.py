@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from textloom.llm import brown, quality
+from textloom.llm import brown, jaccard, quality
 
 DIR = "/root/testdata/sf0.001"
 
@@ -58,3 +58,29 @@ def test_outliers_of_small_groups_are_rejected(spark):
     got = quality.quality_verdicts(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()
     assert len(got) == len(table)
     assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {1000, 2100, 3000, 3002}
+
+
+def test_chance_passages_do_not_bring_texts_into_one_tile(spark, monkeypatch):
+    """Texts in a ring that share a fifth with the next one, and a family of near copies: only the family is cut
+    into tiles, and the classes are those of all pairs."""
+    rng = random.Random(3)
+    passages = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(80)]
+    own = lambda: [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    texts = [passages[i] + own() + own() + passages[(i + 1) % 80] for i in range(80)]
+    family = own() + own() + own()
+    for _ in range(30):
+        copy = list(family)
+        copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(copy)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    seen, cut = [], jaccard._tile_units
+
+    def units(large, labels):
+        seen.extend(r.rep for r in large.select("rep").collect())
+        return cut(large, labels)
+
+    monkeypatch.setattr(jaccard, "_tile_units", units)
+    monkeypatch.setattr(jaccard, "SMALL_SHINGLES", 1500)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(table).collect()}
+    assert got == {i: i if i < 80 else 80 for i in range(110)}
+    assert sorted(seen) == list(range(80, 110))

@@ -4,13 +4,17 @@
    one document. The same pass counts shingles that several documents of a chunk share.
 2. Prefix filter: two sets that link share e of each other's first n - ceil(t n) + e shingles in any
    fixed order. The order puts widely shared shingles last, so that passages common to many documents
-   bring nothing together. Any order gives exact results; the counts only decide how much work is left.
+   bring nothing together, and long ones first, as what is short meets by chance. Any order gives exact
+   results; the counts and lengths only decide how much work is left.
    Sets that share a prefix shingle are joined to one set of the shingle's group (a star, not all pairs).
    Of the widely shared shingles that set is known to every task beforehand, so that none of them gathers
    its holders anywhere; of the others it is the smallest id. Each set then leaves its weakest stars, as
    long as the shingles that it shares in those stay below e / 2 in all: of the e shingles that linked sets
    share, some lie in a star that neither has left. Components of the stars that remain hold every possible
    link, and what shares but a passage falls apart.
+   Chance grows with the table, though, and hangs ever more sets together. So the sets of large components
+   are hung on stars once more, by all their shingles: linked ones share three quarters of the larger, and
+   each leaves its weakest stars below half of that.
 3. Small components are compared whole. In a large one, every set is first compared with the one whose
    prefix is shared most, in a join whose hot side is dealt over many keys; what links to it is one group.
    Only sets of different groups are left to compare. The component is cut into tiles by size band (sizes
@@ -37,12 +41,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.memory import tidy
-from textloom.session import materialize
+from textloom.session import materialize, scratch
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -61,6 +65,8 @@ TILE_SHINGLES, SMALL_SHINGLES, LEAST_TILES = 1_500_000, 50_000, 8
 #: Sets of a large component that one key of the first comparison holds.
 STAR_SETS = 200
 CACHE_WORDS = 400_000
+#: Bytes of words beyond which shingles count as equally long.
+LONGEST = (1 << 16) - 1
 EMPTY = np.empty(0, np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,11 +81,7 @@ class Shingler:
             self.words[word] = found
         return found
 
-    def set_of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the text's shingles."""
-        words = (text or "").encode().lower().split()  # of bytes: A-Z only, ASCII white space only
-        if not words:
-            return EMPTY
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
         known, word_of = self.words, self._word
         h = np.array([known.get(w) or word_of(w) for w in words], np.uint64)
         n = max(1, len(h) - SHINGLE + 1)
@@ -89,7 +91,25 @@ class Shingler:
         for i in range(SHINGLE):
             out = (out ^ h[i : i + n]) * _M
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return out
+
+    def set_of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct hashes of the text's shingles."""
+        words = _words(text)
+        return np.unique(self._hashes(words)) if words else EMPTY
+
+    def set_and_lengths(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and the bytes of each shingle's words, LONGEST at most."""
+        words = _words(text)
+        if not words:
+            return EMPTY, np.empty(0, np.int64)
+        found, first = np.unique(self._hashes(words), return_index=True)
+        ends = np.cumsum([0, *map(len, words)])
+        return found, np.minimum(ends[np.minimum(first + SHINGLE, len(words))] - ends[first], LONGEST)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes: A-Z only, ASCII white space only
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -179,7 +199,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray, centres: n
 
         for batch in batches:
             for text in batch.column(0):
-                found = shingler.set_of(text.as_py())
+                found, lengths = shingler.set_and_lengths(text.as_py())
                 sid = set_id(found)
                 if not sid or sid in seen:
                     continue
@@ -189,7 +209,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray, centres: n
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     rank = np.where(common[at] == found, counts[at], 0)
-                    order = np.argsort(rank, kind="stable")[:k]
+                    order = np.argsort(rank * (LONGEST + 1) - lengths, kind="stable")[:k]
                     wide = at[order][rank[order] > 0]
                     found = found[order][rank[order] == 0]
                     if len(wide):
@@ -197,7 +217,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray, centres: n
                         parts.append((np.zeros(len(m), np.uint64), np.full(len(m), sid, np.int64), m, w.astype(np.int64)))
                         held += len(m)
                 else:
-                    found = found[:k]
+                    found = found[np.argsort(-lengths, kind="stable")[:k]]
                 none = np.zeros(len(found), np.int64)
                 parts.append((found, np.full(len(found), sid, np.int64), none, none))
                 held += len(found)
@@ -220,6 +240,33 @@ def stars(shared: DataFrame) -> DataFrame:
     return dealt.groupBy("sid", "m").agg(F.sum(F.greatest(F.col("w"), F.lit(1))).alias("w"))
 
 
+def _kept(joined: DataFrame, sizes: DataFrame, least: Column) -> DataFrame:
+    """Edges (a, b) of the stars that sets do not leave. ``sizes``: sid and n; ``least``: of n, what linked
+    sets share in stars at least."""
+    weakest = Window.partitionBy("sid").orderBy("w", "m")
+    left = joined.join(sizes.select("sid", "n"), "sid").withColumn("upto", F.sum("w").over(weakest))
+    return left.where(2 * F.col("upto") >= least).select(F.col("sid").alias("a"), F.col("m").alias("b"))
+
+
+def _refined(large: DataFrame) -> DataFrame:
+    """(sid, comp): components of the sets of ``large`` (sid, n, text) by all of their shingles. Sets that
+    have no row are linked with nothing."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                sids, found = batch.column(0)[low : low + 200].to_numpy(), [shingler.set_of(t.as_py()) for t in batch.column(1)[low : low + 200]]
+                h = np.concatenate(found)
+                none = pa.array(np.zeros(len(h), np.int64))
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(np.repeat(sids, [len(x) for x in found])), none, none], ["h", "sid", "m", "w"])
+
+    whole = large.select("sid", "text").mapInArrow(tidy(work), "h long, sid long, m long, w long")
+    joined = materialize(stars(whole), "jaccard-whole-stars")
+    edges = _kept(joined, large, F.floor((F.col("n") * PERCENT + 99) / 100))
+    return components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -359,13 +406,18 @@ def _tile_units(large: DataFrame, labels: DataFrame) -> DataFrame:
     return tagged.join(pairs, ["comp", "tile"]).select("comp", unit.alias("unit"), F.when(F.col("pair") == "own", "own").otherwise("two").alias("pair"), "tile", "label", "rep", "text")
 
 
-def _links(docs: DataFrame, comps: DataFrame, reps: DataFrame, strength: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, comps: DataFrame, reps: DataFrame, strength: DataFrame, keep: list[str]) -> DataFrame:
     """Links between representatives that connect all that is linked."""
     members = comps.join(reps.where("rep is not null"), "sid")
     sizes = members.groupBy("comp").agg(F.sum("n").alias("total"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text_hash", "text")
     # rows of one doc_id and text are one set
     held = materialize(members.join(sizes, "comp").join(texts, ["rep", "text_hash"]).dropDuplicates(["sid"]), "jaccard-members")
+    if not held.where(F.col("total") > SMALL_SHINGLES).isEmpty():
+        large = held.where(F.col("total") > SMALL_SHINGLES).drop("comp", "total")
+        fine = _refined(large).join(large, "sid")
+        fine = fine.join(fine.groupBy("comp").agg(F.sum("n").alias("total")), "comp")
+        held = held.where(F.col("total") <= SMALL_SHINGLES).unionByName(materialize(fine, "jaccard-refined"))
     small = held.where(F.col("total") <= SMALL_SHINGLES)
     sums = held.agg(F.sum(F.when(F.col("total") <= SMALL_SHINGLES, F.col("n"))).alias("small"), F.max("total").alias("most")).first()
     buckets = max(1, -(-int(sums.small or 0) // TILE_SHINGLES)) * 2
@@ -376,7 +428,7 @@ def _links(docs: DataFrame, comps: DataFrame, reps: DataFrame, strength: DataFra
         found = _star_links(large, strength)
         units = _tile_units(large, components(found))
         links = links.union(found).union(units.groupBy("comp", "unit").applyInPandas(_tile_links, "a long, b long"))
-    return materialize(links, "jaccard-links")
+    return materialize(links, "jaccard-links", keep)
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -388,19 +440,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     top = counted.orderBy(F.desc("n"), "sid").limit(MAX_COMMON).toPandas()
     common = top.sid.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
-    joined = materialize(stars(prefixes(docs, common[order], top.n.to_numpy(np.int64)[order], top.m.to_numpy(np.int64)[order])), "jaccard-stars")
     # equal sets have one id; its smallest document stands for it
     first = F.min(F.struct("doc_id", "text_hash"))
     known = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), first.alias("x"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("y"), F.first("n").alias("n"))
     reps = materialize(known.select("sid", "rep", "n", F.coalesce("y.text_hash", "x.text_hash").alias("text_hash")), "jaccard-reps")
     smaller = F.floor((F.col("n") * PERCENT + 99) / 100)  # the least size of a linked set
     least = F.greatest(F.lit(1), F.floor(smaller * EXTRA_PERCENT / 100))
-    weakest = Window.partitionBy("sid").orderBy("w", "m")
-    left = joined.join(reps.select("sid", "n"), "sid").withColumn("upto", F.sum("w").over(weakest))
-    edges = left.where(2 * F.col("upto") >= least).select(F.col("sid").alias("a"), F.col("m").alias("b"))
-    comps = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    strength = joined.groupBy("sid").agg(F.sum("w").alias("shared")).union(joined.select("m").distinct().select("m", F.lit(0).cast("long")))
-    links = _links(docs, comps, reps, strength.groupBy("sid").agg(F.max("shared").alias("shared")))
+    with scratch(docs.sparkSession) as keep:
+        joined = materialize(stars(prefixes(docs, common[order], top.n.to_numpy(np.int64)[order], top.m.to_numpy(np.int64)[order])), "jaccard-stars")
+        comps = components(_kept(joined, reps, least)).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+        strength = joined.groupBy("sid").agg(F.sum("w").alias("shared")).union(joined.select("m").distinct().select("m", F.lit(0).cast("long")))
+        links = _links(docs, comps, reps, strength.groupBy("sid").agg(F.max("shared").alias("shared")), keep)
     # rows of one doc_id with different sets are one document
     repeated = sets.where("n > 0 and doc_id is not null").join(reps.select("sid", "rep"), "sid").where("doc_id <> rep")
     other = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("s1"), F.max("sid").alias("s2")).where("s1 <> s2").select("doc_id")
