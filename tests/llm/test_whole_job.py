@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
+from textloom import session
 from textloom.llm import brown, jaccard, quality
 
 DIR = "/root/testdata/sf0.001"
@@ -60,6 +63,23 @@ def test_outliers_of_small_groups_are_rejected(spark):
     assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {1000, 2100, 3000, 3002}
 
 
+def test_tables_written_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[Path]:
+        return {p for d in manager.localDirs() for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = files()
+    held = session.materialize(spark.range(100_000).repartition(4, "id"), "t")
+    assert held.count() == 100_000
+    for _ in range(50):  # they are deleted in the background
+        if not [p for p in files() - before if p.stat().st_size > 10_000]:
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError("shuffle files are left")
+
+
 def test_chance_passages_do_not_bring_texts_into_one_tile(spark, monkeypatch):
     """Texts in a ring that share a fifth with the next one, and a family of near copies: only the family is cut
     into tiles, and the classes are those of all pairs."""

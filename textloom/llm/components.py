@@ -3,7 +3,7 @@
 Every round hangs a node's larger neighbours on its smallest one (large star), then its smaller ones
 (small star). Rounds are few: the number of steps grows with the logarithm of the longest path. Each step
 aggregates with map-side partials and joins, so a hub with very many edges is split like any skewed key;
-lineage is cut after each round by a table in the shared folder. Nothing but counts reaches the driver.
+lineage is cut after each round by a table in the shared folder, which goes with the next one. Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import materialize
+from textloom.session import materialize, remove
 
 MAX_ROUNDS = 40
 
@@ -43,11 +43,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b of type long); root is the smallest node of
     its component and has a row of its own. Self-loops and repeated edges do no harm."""
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, "edges")
+    made: list[str] = []
+    now = materialize(now, "edges", made)
     for _ in range(MAX_ROUNDS):
         if _settled(now):
             break
-        now = materialize(_star(_star(now, True), False), "edges")
+        now = materialize(_star(_star(now, True), False), "edges", made)
+        remove(edges.sparkSession, made[-2:-1])
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
