@@ -52,17 +52,20 @@ NEAR_TOKENS = 2_000_000
 BLOCK_BYTES = 16 << 20
 
 
+#: By a word's last byte: vowels, other letters (those beyond ASCII too), punctuation, other signs.
+_ENDINGS = [0 if e in b"aeiou" else 1 if e.isalpha() or not e.isascii() else 2 if e in b".,;:!?" else 3 for e in (bytes([b]) for b in range(256))]
+_GERMAN, _SPANISH = set("äöüß"), set("ñóíáú")
+
+
 def shape(word: bytes) -> int:
     """0 to SHAPES - 1, by letters beyond ASCII, by what the word ends with, and by its length."""
     if word.isascii():
         marks = 0
     else:
         text = word.decode(errors="replace")
-        marks = 1 if any(c in "äöüß" for c in text) else 2 if any(c in "ñóíáú" for c in text) else 3
-    end = word[-1:]
-    ending = 0 if end in b"aeiou" else 1 if end.isalpha() else 2 if end in b".,;:!?" else 3 if end.isascii() else 1
+        marks = 1 if not _GERMAN.isdisjoint(text) else 2 if not _SPANISH.isdisjoint(text) else 3
     n = len(word)
-    return (marks * 4 + ending) * 3 + (0 if n <= 4 else 1 if n <= 8 else 2)
+    return (marks * 4 + _ENDINGS[word[-1]]) * 3 + (0 if n <= 4 else 1 if n <= 8 else 2)
 
 
 def key(word: bytes) -> int:
@@ -117,11 +120,12 @@ def block_counts(prepared: DataFrame) -> DataFrame:
             for w in others.pop(block, ()):
                 if w not in mine:
                     mine[w] = 0
-            rows = chain(((key(w), n, shape(w)) for w, n in mine.items()), [(0, ends[block], ENDS), (0, check, CHECKSUM)])
-            for part in batched(rows, 50_000):
-                h, n, s = zip(*part, strict=True)
+            for part in chain(batched(mine, 50_000), [None]):  # at the end what tells of the block
+                h = [0, 0] if part is None else list(map(key, part))
+                n = [ends[block], check] if part is None else list(map(mine.__getitem__, part))
+                s = [ENDS, CHECKSUM] if part is None else list(map(shape, part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(h), pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.int32())],
+                    [pa.array(np.full(len(h), block, np.int64)), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.int32())],
                     ["block", "h", "n", "shape"],
                 )
 
@@ -157,8 +161,8 @@ def unit_bigrams(prepared: DataFrame, head: list[int]) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py())
-                u = [units.end, *[x if (x := known.get(w)) is not None else of(w) for w in words], units.end]
-                held.append(np.array(u[:-1]) * size + np.array(u[1:]))
+                u = np.array([units.end, *[x if (x := known.get(w)) is not None else of(w) for w in words], units.end])
+                held.append(u[:-1] * size + u[1:])
                 n += len(u)
                 if n > 500_000:
                     cells += np.bincount(np.concatenate(held), minlength=size * size)
@@ -246,12 +250,18 @@ def near_counts(prepared: DataFrame, head: list[int], of: np.ndarray) -> DataFra
     its cells with counts, packed as cell << 40 | count. A word has a row for each NEAR_TOKENS tokens at
     most that one task reads."""
     total, end = int(of.max()) + 1, int(of[-1])
-    width, shapes = 2 * total + 1, total - 1 - SHAPES
-
-    def counted(place: Places, units: Units, parts: list[list[int]]) -> Iterator[pa.RecordBatch]:
-        words = list(place)
-        numbers = np.array([end if w == b"" else of[units.of(w)] for w in words])
-        far = np.array([w != b"" and key(w) not in units.head for w in words])
+    width = 2 * total + 1
+    number = {h: i for i, h in enumerate(head)}
+
+    def counted(place: Places, parts: list[list[int]]) -> Iterator[pa.RecordBatch]:
+        words = list(place)  # the first is the end of a text
+        keys = list(map(key, words))
+        shapes = of[len(head) + np.array([0, *map(shape, words[1:])])]
+        units = np.array([number.get(h, -1) for h in keys])
+        numbers = np.where(units >= 0, of[units], shapes)
+        far = units < 0
+        numbers[0], far[0] = end, False
+        keys = np.array(keys, np.int64)
         ids = np.concatenate([np.array(p, np.int64) for p in parts])
         left, right = ids[:-1], ids[1:]
         own = left == right
@@ -263,30 +273,29 @@ def near_counts(prepared: DataFrame, head: list[int], of: np.ndarray) -> DataFra
         ends = np.append(starts[1:], len(cells))
         for i in range(0, len(starts), 20_000):
             a, b = starts[i : i + 20_000], ends[i : i + 20_000]
-            some = [words[j] for j in (cells[a] // width).tolist()]
+            some = cells[a] // width
             offsets = (np.append(a, b[-1]) - a[0]).astype(np.int32) * 8
             data = pa.py_buffer(packed[a[0] : b[-1]].astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([key(w) for w in some], pa.int64()),
-                    pa.array([int(of[len(head) + shape(w)]) for w in some], pa.int32()),
+                    pa.array(keys[some]),
+                    pa.array(shapes[some].astype(np.int32)),
                     pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), data]),
                 ],
                 ["h", "shape", "cells"],
             )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(head)
         place, parts, n = Places({b"": 0}), [[0]], 0  # no word is empty: this is the end of a text
         for batch in batches:
             for text in batch.column(0):
                 parts.append([*[place[w] for w in words_of(text.as_py())], 0])
                 n += len(parts[-1])
                 if n > NEAR_TOKENS:
-                    yield from counted(place, units, parts)
+                    yield from counted(place, parts)
                     place, parts, n = Places({b"": 0}), [[0]], 0
         if n:
-            yield from counted(place, units, parts)
+            yield from counted(place, parts)
 
     return prepared.where("train").select("text").mapInArrow(tidy(work), _NEAR)
 
@@ -308,13 +317,18 @@ def best_classes(word: np.ndarray, cell: np.ndarray, n: np.ndarray, own_class: n
     np.add.at(before, (bx[learned], bw[learned]), bn[learned])
     count = np.bincount(aw, an, size) + own
     mass = pairs.sum(axis=1)
-    ahome, bhome = ax == own_class[aw], bx == own_class[bw]
+    ahome, bhome = np.flatnonzero(ax == own_class[aw]), np.flatnonzero(bx == own_class[bw])
+    terms = _xlogx(pairs)
     gain = np.empty((classes, size))
     for d in range(classes):
-        held = pairs[d, ax] - np.where(ahome, before[d, aw], 0)
-        gain[d] = np.bincount(aw, _xlogx(held + an) - _xlogx(held), size)
-        held = pairs[bx, d] - np.where(bhome, after[d, bw], 0)
-        gain[d] += np.bincount(bw, _xlogx(held + bn) - _xlogx(held), size)
+        held, term = pairs[d, ax], terms[d, ax]
+        held[ahome] -= before[d, aw[ahome]]
+        term[ahome] = _xlogx(held[ahome])
+        gain[d] = np.bincount(aw, _xlogx(held + an) - term, size)
+        held, term = pairs[bx, d], terms[bx, d]
+        held[bhome] -= after[d, bw[bhome]]
+        term[bhome] = _xlogx(held[bhome])
+        gain[d] += np.bincount(bw, _xlogx(held + bn) - term, size)
         cross, a, b = pairs[d, d], after[d], before[d]
         gain[d] += _xlogx(cross + a + b + own) - _xlogx(cross + a) - _xlogx(cross + b) + _xlogx(cross)
         gain[d] -= 2 * (_xlogx(mass[d] + count) - _xlogx(mass[d]))
@@ -329,13 +343,15 @@ def assigned(prepared: DataFrame, head: list[int], of: np.ndarray, bigrams: np.n
         first = np.flatnonzero(np.diff(h, prepend=h[0] - 1))
         word = np.repeat(np.cumsum(np.diff(h, prepend=h[0] - 1) != 0) - 1, sizes)
         width = 2 * len(pairs) + 1
-        cells, at = np.unique(word * width + (packed >> 40), return_inverse=True)
-        n = np.bincount(at, packed & ((1 << 40) - 1))
-        cls, count = best_classes(cells // width, cells % width, n, own_class[first], pairs, classes)
-        keep = count >= FLOOR
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h[first][keep]), pa.array(own_class[first][keep] - classes, pa.int32()), pa.array(cls[keep], pa.int32())], ["h", "shape", "cls"]
-        )
+        cell, n = packed >> 40, packed & ((1 << 40) - 1)
+        total = np.bincount(word, np.where((cell < len(pairs)) | (cell == width - 1), n, 0), len(first))
+        keep = total >= FLOOR  # most words are rare
+        h, own_class = h[first][keep], own_class[first][keep]
+        kept = keep[word]
+        word, cell, n = (np.cumsum(keep) - 1)[word[kept]], cell[kept], n[kept]
+        cells, at = np.unique(word * width + cell, return_inverse=True)
+        cls, _ = best_classes(cells // width, cells % width, np.bincount(at, n, len(cells)), own_class, pairs, classes)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(own_class - classes, pa.int32()), pa.array(cls, pa.int32())], ["h", "shape", "cls"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the last word, which may go on in the next batch
