@@ -6,9 +6,10 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 
 from textloom import session
-from textloom.llm import brown, jaccard, quality
+from textloom.llm import brown, jaccard, packing, quality
 
 DIR = "/root/testdata/sf0.001"
 
@@ -104,3 +105,19 @@ def test_chance_passages_do_not_bring_texts_into_one_tile(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(table).collect()}
     assert got == {i: i if i < 80 else 80 for i in range(110)}
     assert sorted(seen) == list(range(80, 110))
+
+
+def test_words_of_letters_and_a_sign_need_no_search_for_runs(monkeypatch):
+    coder = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Onnd, heeath. shrent! hesten", "a' b\" c| d< E\\ n9 ,x don't's x,, <|", "Über élève. ıI İx ñandú,"]
+    texts += [f"word{c}" for c in sorted(packing.SIGNS)]
+    for text in texts:
+        assert coder.encode(text) == b"".join(i.to_bytes(4, "little") for i in coder.library.encode(text, add_special_tokens=False).ids)
+
+    def searched(word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(packing, "RUNS", searched)
+    coder.words.clear()
+    coder.words[""] = b""
+    assert coder.encode(texts[0]) and coder.encode("élève")

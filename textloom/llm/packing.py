@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -51,10 +51,23 @@ CACHE_WORDS, CACHE_RUNS = 250_000, 60_000
 #: What the vocabulary's splitting rule makes of a lower-case word, and the words it is applied to here.
 RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 LATIN = re.compile(r"(?!.*<\|)[!-~\u00a1-\u0130\u0132-\u017e]*").fullmatch
+#: Signs of which a single one behind letters is a run of its own.
+SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: A gap below this is filled by cutting a piece at once instead of looking for one that fits.
 SMALL_GAP = 16
 
 
+class _Words(dict):
+    """Ids of words; those that are missing are looked up by ``word_of``, which may put them here."""
+
+    def __init__(self, word_of: Callable[[str], bytes]) -> None:
+        super().__init__({"": b""})
+        self.word_of = word_of
+
+    def __missing__(self, word: str) -> bytes:
+        return self.word_of(word)
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit integers. The vocabulary's splitting rule never lets a
     token pass white space, so each word between spaces or line ends is encoded on its own and kept, as
@@ -67,22 +80,31 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = _Words(self._word)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _run(self, run: str) -> bytes:
-        ids = self.model.tokenize("".join(map(self.letters.__getitem__, run.encode())))
+        shown = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))  # no white space is in runs
+        ids = self.model.tokenize(shown)
         found = b"".join([t.id.to_bytes(4, "little") for t in ids])
         if len(self.runs) < CACHE_RUNS and len(run) <= 64:
             self.runs[run] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        if LATIN(word):
-            runs = self.runs
-            found = b"".join([runs.get(r) or self._run(r) for r in RUNS(word.lower())])
+        runs = self.runs
+        last = word[-1]
+        if word.isascii() and (word.isalpha() or word[:-1].isalpha() and last in SIGNS):  # letters, and one sign at most
+            low = word.lower()
+            run = low if last not in SIGNS else low[:-1]
+            found = runs.get(run) or self._run(run)
+            if last in SIGNS:
+                found += runs.get(last) or self._run(last)
+        elif LATIN(word):
+            low = word.lower()
+            found = b"".join([runs.get(r) or self._run(r) for r in ((low,) if low.isalpha() else RUNS(low))])
         else:
             found = b"".join([i.to_bytes(4, "little") for i in self.library.encode(word, add_special_tokens=False).ids])
         if len(self.words) < CACHE_WORDS and len(word) <= 64:
@@ -90,13 +112,7 @@ class WordTokenizer:
         return found
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        known, word_of = self.words, self._word
-        return b"".join([x if (x := known.get(w)) is not None else word_of(w) for w in words])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
