@@ -2,11 +2,12 @@
 
 import bz2
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from textloom.operators import bm25, index, vectors
+from textloom.operators import best, bm25, index, vectors
 from textloom.sources import dumps, files
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/">
@@ -105,3 +106,41 @@ def test_cells_on_disk(spark, tmp_path):
     assert vectors.search_cells(spark, str(tmp_path), queries, 1).count() == 20
     best = vectors.two_stage_top_k(spark, str(tmp_path), df, queries, 2, 3, 10).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in best] == [(6, 5.0), (5, 4.5)]
+
+
+def test_searches_in_small_parts_give_the_first_of_all_pairs(spark, tmp_path):
+    """Exact, by cells and in two stages, against all pairs; what a task gives out is k rows a query, ties apart."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4).round(2)]) for i in range(300)] + [(300, None), (301, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    full = {i: np.array(v, np.float32).astype(float) for i, v in rows if v and len(v) == 4}
+    asked = [i for i in full if i % 50 == 0]
+    whole = {q: sorted((-round(float(v @ full[q]), 6), i) for i, v in full.items() if i != q) for q in asked}
+    want = {(q, i, r + 1) for q in asked for r, (_, i) in enumerate(whole[q][:10])}
+    queries = df.where("vec_id % 50 = 0 and vec_id < 300")
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in vectors.exact_top_k(df, queries, 10).collect()} == want
+    centres = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)], "cid int, centre array<double>")
+    cid = {i: int(np.argmax(v)) for i, v in full.items()}
+    placed = spark.createDataFrame([(i, [float(x) for x in v], cid[i]) for i, v in full.items()], "vec_id long, embedding array<float>, cid int").repartition(3)
+    found, seen = vectors.inverted_sweep(centres, placed, queries, 10, (1, 4))
+    got = {n: {(r.query_id, r.vec_id, r["rank"]) for r in found.where(f"nprobe = {n}").collect()} for n in (1, 4)}
+    near = {q: [(s, i) for s, i in whole[q] if cid[i] == cid[q]] for q in asked}
+    assert got[4] == want and got[1] == {(q, i, r + 1) for q in asked for r, (_, i) in enumerate(near[q][:10])}
+    assert {r.nprobe: r.seen for r in seen.collect()} == {1: sum(map(len, near.values())), 4: len(asked) * 299}
+    vectors.write_cells(centres, placed, str(tmp_path))
+    stage = vectors.search_cells(spark, str(tmp_path), queries, 4, depth=5)
+    assert stage.count() <= len(asked) * 6 * max(1, stage.rdd.getNumPartitions()) < len(asked) * 299
+    two = vectors.two_stage_top_k(spark, str(tmp_path), df, queries, 10, 4, 100)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in two.collect()} == want
+
+
+def test_first_of_a_stream_holds_no_more_than_is_asked():
+    rng = np.random.default_rng(1)
+    score = rng.integers(0, 50, (3, 40_000)) / 7.0
+    held = best.Best(3, 4)
+    held.most = 100
+    for i in range(0, 40_000, 50):
+        held.add_matrix(score[:, i : i + 50], np.arange(i, i + 50), np.arange(3))
+    q, keys, got = held.result()
+    assert all(sorted(keys[q == i]) == list(np.flatnonzero(score[i] >= np.sort(score[i])[-4])) for i in range(3)) and (got == score[q, keys]).all()
+    assert best.Best(2, 3).result() is None
