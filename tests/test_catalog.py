@@ -41,3 +41,10 @@ def test_packed_chunks(spark):
     rows = catalog.queries()["chunk_paragraph_pack"](spark, DIR).collect()
     assert rows and all(50 <= r.char_len <= 800 for r in rows)
     assert len({r.chunk_id for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["run_alignment", "search_modes", "gate_rrf", "metrics_by_slice", "cc_minmax", "lead_by_winner", "rerank_topk"])
+def test_documents_are_scored_once(spark, name):
+    """What comes after the scoring reads its written lists; no reader of a pool scores all documents again."""
+    plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan

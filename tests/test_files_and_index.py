@@ -144,3 +144,33 @@ def test_first_of_a_stream_holds_no_more_than_is_asked():
     q, keys, got = held.result()
     assert all(sorted(keys[q == i]) == list(np.flatnonzero(score[i] >= np.sort(score[i])[-4])) for i in range(3)) and (got == score[q, keys]).all()
     assert best.Best(2, 3).result() is None
+
+
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 3)
+    yield
+    spark.conf.unset(name)
+
+
+def test_postings_and_searches_over_many_batches(spark, tmp_path, monkeypatch, small_batches):
+    """Rare terms alone are counted over all documents; documents are scored whole however their rows are dealt."""
+    words = ["red", "fox", "den", "Über", "a", "elm", "oak", "x1y", "zz"]
+    texts = [" ".join(words[(i * j + j) % 9] for j in range(1 + i % 6)) + (f" rare{'abcdefgh'[i // 5]}" if i % 5 == 0 else "") for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (40, None), (41, "")], "doc_id long, text string").repartition(3).cache()
+    asked = spark.createDataFrame([(1, "red fox fox raree"), (2, "oak elm ber"), (3, None), (4, "den rare")], "item_id long, text string")
+    monkeypatch.setattr(bm25, "ENTRIES", 20)
+    monkeypatch.setattr(bm25, "SEEN", 2)
+    norm = F.round("tf_norm", 9).alias("n")
+    got, want = (sorted(map(tuple, f(docs).select("term", "doc_id", "tf", norm).collect())) for f in (bm25.posting_rows, bm25.postings))
+    assert got == want and {t for t, *_ in got} >= {"red", "ber"} and not any(t == "rarea" for t, *_ in got)
+    scored = bm25.score_terms(docs, asked)
+    pick = ["item_id", "doc_id", "score", "rank"]
+    want = sorted(map(tuple, bm25.top_k(scored, 3).select(*pick).collect()))
+    assert sorted(map(tuple, bm25.top_k(bm25.top_lists(docs, asked, 3), 3).select(*pick).collect())) == want and len(want) == 9
+    built = index.build(docs, str(tmp_path / "i"), files=3)
+    assert index.broken_terms(built).isEmpty()
+    assert sorted(map(tuple, index.search(built, asked, 3).select(*pick).collect())) == want
+    monkeypatch.setattr(bm25, "MAX_ENTRIES", 2)
+    assert sorted(map(tuple, index.search(built, asked, 3).select(*pick).collect())) == want

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import bm25, corpus, ranking, runs
-from textloom.plans.catalog import _FUSED, _GOLD, _LEADS, _M, _RANKED, _ranked, _ranks, _scored, query, table
+from textloom.operators import corpus, ranking, runs
+from textloom.plans.catalog import _FUSED, _GOLD, _LEADS, _M, _RANKED, _ranked, _ranks, query, table
 
 METRICS = ["recall_1", "recall_5", "recall_10", "mrr_10"]
 
@@ -98,7 +98,8 @@ def run_alignment(spark, sf_dir):
 def lead_by_winner(spark, sf_dir):
     """M7."""
     at = lambda p: F.max(F.when(F.col("path") == p, F.col("rank")))
-    wide = _ranks(spark, sf_dir).groupBy("item_id").agg(at("bm25").alias("b"), at("coord").alias("c"))
-    leads = ranking.lead(bm25.top_k(_scored(spark, sf_dir, 2), 2))
+    ranked = _ranked(spark, sf_dir)
+    wide = _ranks(spark, sf_dir, ranked).groupBy("item_id").agg(at("bm25").alias("b"), at("coord").alias("c"))
+    leads = ranking.lead(ranked.where("path = 'bm25'"))
     won = wide.select("item_id", runs.winner({"bm25": F.col("b"), "coord": F.col("c")}).alias("winner"))
     return runs.median_by(won.join(leads, "item_id", "left"), "lead", "winner")
